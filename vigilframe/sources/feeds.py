@@ -51,7 +51,7 @@ def read_ofsi(spark: SparkSession, path: str, version: str, list_id: str = "UK_O
     fields = ", ".join(f"`c{i}` string" for i in range(len(names)))
     parsed = lines.where(F.col("at") > head["at"]).select("at", F.from_csv("value", fields, {"quote": '"', "escape": '"'}).alias("r"))
     col = lambda name: F.trim(F.coalesce(F.col(f"r.c{names.index(name)}"), F.lit(""))) if name in names else F.lit("")
-    name = F.concat_ws(" ", *[F.nullif(col(f"Name {i}"), F.lit("")) for i in (1, 2, 3, 4, 5, 6)])
+    name = F.concat_ws(" ", *[F.nullif(col(f"Name {i}"), F.lit("")) for i in (1, 2, 3, 4, 5, 6)])  # forenames, then the family name
     rows = parsed.select("at", col("Group ID").alias("group"), name.alias("name"), col("DOB").alias("dob"), col("Nationality").alias("country"), col("Group Type").alias("type"), (F.lower(col("Alias Type")) == "primary name").alias("first")).where("group <> ''")
     order = F.struct((~F.col("first")).alias("later"), "at")
     folded = rows.groupBy("group").agg(F.min_by(F.struct("name", "dob", "country", "type", "at"), order).alias("p"), F.array_sort(F.collect_list(F.struct("at", "name"))).alias("all"))
