@@ -85,3 +85,21 @@ def ed25519_verify(spark: SparkSession, public_key: bytes, message: bytes, signa
         return bool(verifier.verify(signature))
     except Exception:  # a signature of the wrong length
         return False
+
+
+def ed25519_keypair(spark: SparkSession) -> tuple[bytes, bytes]:
+    """A new key: the raw public part, and the private part in PKCS 8."""
+    jvm = spark.sparkContext._jvm
+    pair = jvm.java.security.KeyPairGenerator.getInstance("Ed25519").generateKeyPair()
+    factory = jvm.java.security.KeyFactory.getInstance("Ed25519")
+    spec = lambda key, name: bytes(factory.getKeySpec(key, jvm.java.lang.Class.forName(f"java.security.spec.{name}")).getEncoded())
+    return spec(pair.getPublic(), "X509EncodedKeySpec")[-32:], spec(pair.getPrivate(), "PKCS8EncodedKeySpec")
+
+
+def ed25519_sign(spark: SparkSession, private_key: bytes, message: bytes) -> bytes:
+    jvm = spark.sparkContext._jvm
+    key = jvm.java.security.KeyFactory.getInstance("Ed25519").generatePrivate(jvm.java.security.spec.PKCS8EncodedKeySpec(private_key))
+    signer = jvm.java.security.Signature.getInstance("Ed25519")
+    signer.initSign(key)
+    signer.update(message)
+    return bytes(signer.sign())
