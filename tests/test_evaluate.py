@@ -45,6 +45,18 @@ def test_labels_and_negatives(spark):
         evaluate.clean_names(people.limit(1), owners, 1, 3)
 
 
+def test_plain_negatives_and_cross_pairs(spark):
+    owners = spark.createDataFrame([("ann lee", [1]), ("bob ray", [2, 3]), ("cy poe", [3])], "canonical string, owners array<long>")
+    tokens = spark.createDataFrame([("ann",), ("lee",)], "key string")
+    made = evaluate.plain_names(["ann", "zoe", "max"], ["lee", "kim", "roe"], owners, tokens, 4, 5)
+    assert sorted(made) == ["max kim", "max roe", "zoe kim", "zoe roe"]
+    with pytest.raises(ValueError, match="asked for"):
+        evaluate.plain_names(["ann"], ["kim"], owners, tokens, 1, 5)
+    names = spark.createDataFrame([(0, 1, "ann lee"), (1, 2, "bob ray"), (2, 3, "cy poe")], "ordinal long, id long, canonical string")
+    got = [(r["a"], r["b"]) for r in evaluate.cross_pairs(names, 3, owners, 6, 11).collect()]
+    assert got and all({a, b} in ({"ann lee", "bob ray"}, {"ann lee", "cy poe"}) for a, b in got)
+
+
 def test_floors_only_tighten(spark):
     report = spark.createDataFrame([("a", 10_000, 0.9, 0.1)], "g string, n long, recall double, fpr double")
     floors = evaluate.floors_from(report, {"recall": "min", "fpr": "max"}, ["g"])

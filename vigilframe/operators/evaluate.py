@@ -167,6 +167,43 @@ def clean_names(people: DataFrame, owners: DataFrame, count: int, seed: int, bud
     return out[:count]
 
 
+def plain_names(given: list[str], family: list[str], owners: DataFrame, tokens: DataFrame, count: int, seed: int, budget: int = 200) -> list[str]:
+    """Seeded negatives that share nothing with the list: neither token is one of its tokens, and no entity has the name.
+
+    given and family are word lists of the caller; tokens (key) is the list's vocabulary. Only drawn words are looked up.
+    """
+    used = {r[0] for r in tokens.where(F.col("key").isin(sorted({*given, *family}))).select("key").distinct().collect()}
+    draw, out = mulberry32(seed), {}
+    for _ in range(budget * count):
+        if len(out) >= count:
+            break
+        a, b = given[int(draw() * len(given))], family[int(draw() * len(family))]
+        if a not in used and b not in used:
+            out[f"{a} {b}"] = None
+    owned = {r[0] for r in owners.where(F.col("canonical").isin(list(out))).select("canonical").collect()} if out else set()
+    made = [n for n in out if n not in owned]
+    if len(made) < count:
+        raise ValueError(f"{count} negatives asked for, {len(made)} found")
+    return made
+
+
+def cross_pairs(names: DataFrame, n: int, owners: DataFrame, count: int, seed: int) -> DataFrame:
+    """label 0, a, b: seeded pairs of names of different entities that no entity owns together.
+
+    names: ordinal (from 0, below n), id, canonical. Pairs are drawn as positions on the driver, a few more than asked for, and
+    meet their names by two joins; pairs of one entity or with a common owner are left out.
+    """
+    draw = mulberry32(seed)
+    drawn = [(k, int(draw() * n), int(draw() * n)) for k in range(2 * count)]
+    spark = names.sparkSession
+    pairs = spark.createDataFrame(drawn, "k long, i long, j long")
+    owned = names.join(owners, "canonical").select("ordinal", "id", "canonical", "owners")
+    side = lambda c, p: owned.select(F.col("ordinal").alias(c), F.col("id").alias(f"{p}_id"), F.col("canonical").alias(p), F.col("owners").alias(f"{p}_owners"))
+    met = pairs.join(side("i", "a"), "i").join(side("j", "b"), "j")
+    kept = met.where((F.col("a_id") != F.col("b_id")) & ~F.arrays_overlap("a_owners", "b_owners"))
+    return kept.orderBy("k").limit(count).select(F.lit(0).alias("label"), "a", "b")
+
+
 def slack(n: int, tolerance: float = 0.02) -> float:
     """How far a rate may fall: a bound that tightens with the number of rows."""
     return round(min(tolerance, 40 / n), 4) if n else tolerance
