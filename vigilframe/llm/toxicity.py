@@ -1,8 +1,12 @@
 """Toxicity: a counterfactual-regularised linear classifier over the words of whole texts.
 
+A text's features are the words it has and the beginnings of its words, so that forms of a word that the sample lacks
+are known by their stem. Only features that toxic texts have more often than others are weighed: the many harmless words of
+a long text then don't add up against a few attacks.
+
 The classifier is fitted on a bounded sample of labelled texts. For each sample text that names a group, a
 counterfactual text is made by swapping the group's term for another of the same kind. The loss has, beside the log
-loss, the squared change of score between a text and its counterfactual, so that the score doesn't depend on which
+loss, the squared change of the score's logit between a text and its counterfactual, so that the score doesn't depend on which
 group is named, and neutral mentions aren't taken for attacks.
 """
 
@@ -21,8 +25,9 @@ from pyspark.sql import types as T
 from vigilframe.llm.common import per_text
 
 WORDS = re.compile(r"\w+")
+STEMS = (4, 5, 6)
 #: labelled rows that the classifier is fitted on, at most; chosen by a hash of their ids
-SAMPLE = 8000
+SAMPLE = 6000
 #: words that the classifier weighs, at most
 FEATURES = 4096
 # Terms for groups of persons; terms of one line can stand for each other.
@@ -44,7 +49,16 @@ SWAP = {k: line[(i + 1) % len(line)] for line in GROUPS for i, k in enumerate(li
 
 
 def word_keys(text: str) -> set[int]:
-    return set(map(key, set(WORDS.findall(text.lower()))))
+    """Keys of the distinct words, and of their first STEMS letters where a word is longer."""
+    words = set(WORDS.findall(text.lower()))
+    keys = set(map(key, words))
+    for n in STEMS:
+        keys.update(map(key, {"^" + w[:n] for w in words if len(w) > n}))
+    return keys
+
+
+#: keys of the beginnings of group terms; they are never weighed, so that swapping a term swaps all of its features
+GROUP_STEMS = [key("^" + w[:n]) for line in IDENTITY for w in line for n in STEMS if len(w) > n]
 
 
 def held_out(id_col: Column) -> Column:
@@ -64,8 +78,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
 
 
-def fit(texts: list[set[int]], labels: list[int], fairness: float = 10.0, ridge: float = 1e-3, steps: int = 400, rate: float = 0.5, features: int = FEATURES) -> Model:
-    """Fit on sets of word keys. fairness weighs the squared score changes, ridge the squared weights.
+def fit(texts: list[set[int] | np.ndarray], labels: list[int], fairness: float = 1.0, ridge: float = 1e-4, steps: int = 600, rate: float = 0.5, features: int = FEATURES) -> Model:
+    """Fit on the word keys of texts, both labels with the same weight in all. fairness weighs the
+    squared changes of the score's logit, ridge the squared weights.
 
     Words are chosen by the chi-square statistic of their presence, those seen in under three texts left out; group
     terms always take part, so that the penalty can act on them. No texts, or texts of one label only, give a model
@@ -76,15 +91,23 @@ def fit(texts: list[set[int]], labels: list[int], fairness: float = 10.0, ridge:
     base = float(np.clip((y.sum() + 0.5) / (n + 1), 1e-4, 1 - 1e-4))
     if not n or y.min() == y.max():
         return Model({}, float(np.log(base / (1 - base))))
-    sizes = np.fromiter(map(len, texts), np.int64, n)
-    rows = np.repeat(np.arange(n), sizes)
-    words, columns = np.unique(np.concatenate([np.fromiter(sorted(t), np.int64, len(t)) for t in texts]), return_inverse=True)
+    groups = np.array([k for line in GROUPS for k in line], np.uint32)
+    keys = np.concatenate([np.fromiter(t, np.uint32, len(t)) if isinstance(t, set) else t for t in texts])
+    words, counts = np.unique(keys, return_counts=True)
+    words = words[(counts >= 3) | np.isin(words, groups)]
+    if not len(words):
+        return Model({}, float(np.log(base / (1 - base))))
+    rows = np.repeat(np.arange(n, dtype=np.int32), np.fromiter(map(len, texts), np.int64, n))
+    columns = np.minimum(np.searchsorted(words, keys), len(words) - 1).astype(np.int32)
+    known = words[columns] == keys
+    rows, columns = rows[known], columns[known]
+    del keys, known
     seen = np.bincount(columns, minlength=len(words)).astype(float)
     hits = np.bincount(columns, weights=y[rows], minlength=len(words))
     expected = seen * y.mean()
     chi = (hits - expected) ** 2 / np.maximum(expected * (1 - y.mean()) * (1 - seen / n + 1e-9), 1e-9)
-    chi[seen < 3] = 0
-    named = np.isin(words, [k for line in GROUPS for k in line])
+    chi[(seen < 3) | (hits <= expected) | np.isin(words, np.array(GROUP_STEMS, np.uint32))] = 0
+    named = np.isin(words, groups)
     order = np.lexsort((words, -chi))[:features]
     chosen = np.unique(np.concatenate([order[chi[order] > 10.83], np.flatnonzero(named)]))  # 10.83: chance below 0.001
     if not len(chosen):
@@ -94,41 +117,42 @@ def fit(texts: list[set[int]], labels: list[int], fairness: float = 10.0, ridge:
     mask = place[columns] >= 0
     r, c = rows[mask], place[columns[mask]]
     lookup = {int(words[j]): i for i, j in enumerate(chosen)}
-    pairs = [(i, lookup[k], lookup.get(SWAP[k])) for i, t in enumerate(texts) for k in sorted(t) if k in SWAP and k in lookup]
-    pr = np.array([p[0] for p in pairs], int)
-    pa = np.array([p[1] for p in pairs], int)
-    pb = np.array([-1 if p[2] is None else p[2] for p in pairs], int)
-    w, b = np.zeros(len(chosen)), float(np.log(base / (1 - base)))
+    # each mention of a group term, and the place of the term that its counterfactual has instead (-1: none seen)
+    other = np.array([lookup.get(SWAP.get(int(words[j]), -1), -1) if int(words[j]) in SWAP else -2 for j in chosen])
+    mention = other[c] > -2
+    pr, pa, pb = r[mention], c[mention], other[c[mention]]
+    weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
+    w, b = np.zeros(len(chosen)), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
         margin = b + np.bincount(r, weights=w[c], minlength=n)
         p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
-        g = (p - y) / n
+        g = (p - y) * weight
         gw, gb = np.bincount(c, weights=g[r], minlength=len(w)) + ridge * w, float(g.sum())
-        if len(pairs):
-            # the counterfactual has the other term instead of the one; the change of score is pulled to zero
-            other = margin[pr] - w[pa] + np.where(pb >= 0, w[pb], 0.0)
-            q = 1 / (1 + np.exp(-np.clip(other, -40, 40)))
-            d = 2 * fairness * (p[pr] - q) / len(pairs)
-            dp, dq = p[pr] * (1 - p[pr]), q * (1 - q)
-            # both scores share all words but the swapped ones
-            both = np.bincount(pr, weights=d * (dp - dq), minlength=n)
-            gw += np.bincount(c, weights=both[r], minlength=len(w)) + np.bincount(pa, weights=d * dq, minlength=len(w))
-            gw -= np.bincount(pb[pb >= 0], weights=(d * dq)[pb >= 0], minlength=len(w))
-            gb += float(both.sum())
+        if len(pr):
+            # the counterfactual has the other term instead of the one; all other words, and so the rest of the score, are shared
+            change = w[pa] - np.where(pb >= 0, w[pb], 0.0)
+            d = 2 * fairness * change / len(pr)
+            gw += np.bincount(pa, weights=d, minlength=len(w)) - np.bincount(pb[pb >= 0], weights=d[pb >= 0], minlength=len(w))
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         k1, k2 = 1 - 0.9**step, 1 - 0.999**step
         w = w - rate * (mw / k1) / (np.sqrt(vw / k2) + 1e-8) / (1 + step / 50)
         b = b - rate * (mb / k1) / (np.sqrt(vb / k2) + 1e-8) / (1 + step / 50)
+    # if there is a gap between the labels' margins, but for the odd label, a score of 0.5 goes to its first quarter:
+    # texts without features are alike, while attacks in words that the sample has seldom get less than those in it
+    margin = np.bincount(r, weights=w[c], minlength=n)
+    low, high = float(np.quantile(margin[y == 0], 0.999)), float(np.quantile(margin[y > 0], 0.02))
+    if low < high:
+        b = -(3 * low + high) / 4
     return Model({int(words[j]): float(x) for j, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, float(b))
 
 
 def _keyed(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     def make() -> Callable[[bytes | None], tuple]:
-        return lambda raw: (sorted(word_keys((raw or b"").decode())),)
+        return lambda raw: (np.array(sorted(word_keys((raw or b"").decode())), "<u4").tobytes(),)
 
-    return per_text(docs, keys, text, [("word_keys", T.ArrayType(T.LongType()))], make)
+    return per_text(docs, keys, text, [("word_keys", T.BinaryType())], make)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, **fitting: float) -> Model:
@@ -144,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     # at most `sample` ids are sent to all executors
     found = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.md5("text"))
     rows = _keyed(found, ["doc_id", "y", "h"], "text").toPandas().sort_values(["h", "y", "doc_id"]).drop_duplicates("h", keep="last").sort_values("doc_id")
-    return fit([set(map(int, k)) for k in rows["word_keys"]], [int(y > 0) for y in rows["y"]], **fitting)
+    return fit([np.frombuffer(k, "<u4") for k in rows["word_keys"]], [int(y > 0) for y in rows["y"]], **fitting)
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
