@@ -129,6 +129,8 @@ def row_key(id_col: str, text: str) -> Column:
 
 #: words of a fingerprint that similar_groups() indexes, of 64 bits each
 LANES = 4
+#: nodes of a key up to which neighbours are compared too; nodes of larger keys meet in other segments as well
+FEW = 4
 
 
 def lanes_of(hashes: list[int], lanes: int) -> tuple[int, ...]:
@@ -144,8 +146,8 @@ def lanes_of(hashes: list[int], lanes: int) -> tuple[int, ...]:
 
 
 def _met(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a key (segment, value): each with the least node of its key and with the node before it.
-    What a key makes grows with its nodes, not with their square."""
+    """Pairs (a, b) of nodes that share a key (segment, value): each with the least node of its key, and where few share it, with
+    the node before it too. What a key makes grows with its nodes, not with their square."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, tail = None, None
@@ -160,7 +162,9 @@ def _met(entries: DataFrame) -> DataFrame:
             least = np.where(place >= 0, node[np.maximum(place, 0)], first if first is not None else node[0])
             before = np.concatenate(([tail[2] if tail is not None else node[0]], node[:-1]))
             inner = ~starts
-            a, b = np.concatenate((least[inner], before[inner])), np.concatenate((node[inner], node[inner]))
+            run = np.cumsum(starts)
+            few = inner & (np.bincount(run)[run] <= FEW)
+            a, b = np.concatenate((least[inner], before[few])), np.concatenate((node[inner], node[few]))
             first, tail = least[-1], (segment[-1], value[-1], node[-1])
             pairs = np.unique(np.stack((a, b), axis=1)[a != b], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], names=["a", "b"])
@@ -194,7 +198,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     pairs = _met(entries)
     sides = [nodes.select(F.col("node").alias(s), *[F.col(n).alias(f"{s}{n}") for n in names]) for s in "ab"]
     apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
-    near = checkpoint(pairs.join(sides[0], "a").join(sides[1], "b").where(apart <= lanes * 64 // 4).select("a", "b"))
+    near = checkpoint(pairs.join(sides[0], "a").join(sides[1], "b").withColumn("d", apart).where(F.col("d") <= lanes * 64 // 4).select("a", "b", "d"))
     # shingle sets of the nodes that have a near one, from one text of each
     live = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("one.row_key").alias("row_key")), "node")
     texts = keyed.select("row_key", "text").join(live, "row_key")
@@ -202,10 +206,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def make_sets() -> Callable[[bytes | None], tuple]:
         return lambda raw: (np.unique(np.array(shingle_hashes(raw or b"", words, 42), dtype=np.uint64)).view(np.int64).tolist(),)
 
-    sets = per_text(texts, ["node"], "text", [("s", T.ArrayType(T.LongType()))], make_sets).groupBy("node").agg(F.first("s").alias("s"))
-    both = near.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    roots = connected_components(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    sets = checkpoint(per_text(texts, ["node"], "text", [("s", T.ArrayType(T.LongType()))], make_sets).groupBy("node").agg(F.first("s").alias("s")))
+
+    def alike(found: DataFrame) -> DataFrame:
+        both = found.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+    # first each node with the nearest it met; of the other pairs only those that this has not brought together
+    nearest = checkpoint(alike(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")))
+    so_far = connected_components(nearest)
+    root_of = lambda side: so_far.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+    open_pairs = near.select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    roots = connected_components(nearest.unionByName(alike(open_pairs)))
     labelled = nodes.select("node", "one").join(roots, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("one").alias("least"))
     grouped = labelled.join(least, "root").select("node", "least")
