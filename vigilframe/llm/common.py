@@ -50,11 +50,22 @@ def ordinals(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataF
     return placed.withColumn(name, (offset + row).cast("long")).drop(mark)
 
 
+#: rows in an Arrow batch at most, so that a batch of long texts stays small on both sides of a Python worker's pipe
+BATCH = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def per_text(df: DataFrame, keys: list[str], text: str, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[bytes], tuple]]) -> DataFrame:
     """Apply a per-text function in Arrow batches. keys pass through; text reaches it as UTF-8 bytes, null as None.
 
     make() runs once for each task and returns the function; equal consecutive texts aren't cached.
     """
+    small_batches(df.sparkSession)
     chosen = df.select(*[F.col(k) for k in keys], F.col(text).cast("binary").alias("__text"))
     schema = T.StructType([chosen.schema[k] for k in keys] + [T.StructField(n, t) for n, t in fields])
     names, width = [n for n, _ in fields], len(keys)
@@ -66,9 +77,9 @@ def per_text(df: DataFrame, keys: list[str], text: str, fields: list[tuple[str,
         apply = make()
         for batch in batches:
             texts = batch.column(width)
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                rows = [apply(x.as_py()) for x in texts.slice(lo, 2048)]
+            for lo in range(0, batch.num_rows, BATCH):
+                part = batch.slice(lo, BATCH)
+                rows = [apply(x.as_py()) for x in texts.slice(lo, BATCH)]
                 columns = [part.column(i) for i in range(width)]
                 columns += [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:width], *names])
