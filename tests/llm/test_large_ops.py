@@ -119,6 +119,40 @@ def test_similar_groups(spark):
     assert simhash.similar_groups(frame(spark, [])).count() == 0
 
 
+def plain_groups(rows, words=5, least=0.8):
+    """group id of each id, by all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    edges = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    ids = {i: i for i, _ in rows}
+
+    def root(x):
+        while ids[x] != x:
+            x = ids[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((root(a), root(b)))
+        ids[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_similar_groups_in_crowded_keys(spark):
+    """Copies at 0.8 or more among many texts of the same boilerplate that are under 0.8 to them and to each other."""
+    rnd = random.Random(12)
+    shared = [f"b{i}" for i in range(170)]
+    rows = [(i, " ".join(shared + [f"u{i}x{k}" for k in range(30)])) for i in range(500)]
+    for i in range(0, 250, 5):
+        copy = rows[i][1].split()
+        copy[-12:] = [f"c{i}x{k}" for k in range(12)]
+        rows.append((1000 + i, " ".join(copy)))
+    rnd.shuffle(rows)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == plain_groups(rows) and len(set(got.values())) == 500
+
+
 # --- BPE --------------------------------------------------------------------------------------------------------
 
 

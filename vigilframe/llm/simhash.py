@@ -9,15 +9,15 @@ for those the ball is taken inside the other segment too, whose halves bring 16
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilframe.llm import prefixes
 from vigilframe.llm.common import checkpoint, per_text
 from vigilframe.llm.components import connected_components
 
@@ -127,98 +127,78 @@ def row_key(id_col: str, text: str) -> Column:
     return F.md5(F.concat_ws("\x1f", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.when(F.col(text).isNull(), "null").otherwise("text"), F.col(text)))
 
 
-#: words of a fingerprint that similar_groups() indexes, of 64 bits each
-LANES = 4
-#: nodes of a key up to which neighbours are compared too; nodes of larger keys meet in other segments as well
-FEW = 4
-
-
-def lanes_of(hashes: list[int], lanes: int) -> tuple[int, ...]:
-    """A fingerprint of lanes * 64 bits: lane j takes the majority over the hashes mixed with j. Signed."""
-    base, out = np.array(hashes, dtype=np.uint64), []
-    for j in range(lanes):
-        x = base + np.uint64((j * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        value = bits_over_half((x ^ (x >> np.uint64(31))) if len(base) else [])
-        out.append(value - (1 << 64) if value >> 63 else value)
-    return tuple(out)
-
-
-def _met(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that share a key (segment, value): each with the least node of its key, and where few share it, with
-    the node before it too. What a key makes grows with its nodes, not with their square."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, tail = None, None
-        for batch in batches:
-            segment, value, node = (batch.column(k).to_numpy() for k in range(3))
-            if not len(node):
-                continue
-            starts = np.concatenate(([True], (segment[1:] != segment[:-1]) | (value[1:] != value[:-1])))
-            if tail is not None and tail[:2] == (segment[0], value[0]):
-                starts[0] = False
-            place = np.maximum.accumulate(np.where(starts, np.arange(len(node)), -1))
-            least = np.where(place >= 0, node[np.maximum(place, 0)], first if first is not None else node[0])
-            before = np.concatenate(([tail[2] if tail is not None else node[0]], node[:-1]))
-            inner = ~starts
-            run = np.cumsum(starts)
-            few = inner & (np.bincount(run)[run] <= FEW)
-            a, b = np.concatenate((least[inner], before[few])), np.concatenate((node[inner], node[few]))
-            first, tail = least[-1], (segment[-1], value[-1], node[-1])
-            pairs = np.unique(np.stack((a, b), axis=1)[a != b], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], names=["a", "b"])
-
-    return entries.repartition("segment", "value").sortWithinPartitions("segment", "value", "node").mapInArrow(run, "a long, b long").distinct()
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, index_words: int = 3, lanes: int = LANES) -> DataFrame:
+def shingle_set(text: bytes, words: int, known: WordHashes) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, ascending. A text with fewer words is one shingle; a blank one has none."""
+    tokens = text.lower().split()  # as in shingle_hashes()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+    n = max(1, len(tokens) - words + 1)
+    mixed = np.full(n, min(words, len(tokens)), np.uint64)
+    for k in range(min(words, len(tokens))):
+        mixed = (mixed ^ hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+class WordHashes(dict):
+    """64-bit hash of a word; remembers a bounded number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return value
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, row_key (of id and text, see row_key()), group_id and first: the smallest id of the rows that links reach, and
     whether the row is the first of its group (by id, nulls last, then text). A link is a Jaccard similarity of at
     least `similarity` between the sets of shingles of `words` words.
 
-    Candidates come from long fingerprints over shingles of index_words words, which near copies change less. Each 32-bit
-    segment is entered under itself and the 32 values of its Hamming ball of radius one, so fingerprints meet that differ
-    by two bits there; their complete distances are verified next, and the shingle sets of those near enough last. Texts
-    with equal fingerprints are one node. Null and blank texts are one group. A pair at the threshold meets in one of the 8
-    segments with a probability of about 0.94, one at 0.9 nearly always.
+    Texts with equal sets are one node; null and blank texts are one group. Pairs come from a prefix filter (`prefixes`), which
+    misses none at the threshold, and are verified on the whole sets: first each node with the least node of its shared
+    shingles, then all pairs that meet and aren't together yet. So what a group of copies makes follows its size, and
+    no pair is left out for the size of a key.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("row_key", row_key("doc_id", "text"))
-    names = [f"f{j}" for j in range(lanes)]
+
+    def make_set() -> Callable[[bytes], np.ndarray]:
+        known = WordHashes()
+        return lambda raw: shingle_set(raw, words, known)
+
+    table = docs.sparkSession.sparkContext.broadcast(prefixes.order_of(keyed, "text", make_set))
 
     def make() -> Callable[[bytes | None], tuple]:
-        return lambda raw: lanes_of(shingle_hashes(raw or b"", index_words, 42), lanes)
+        members, levels = make_set(), np.frombuffer(table.value, np.uint8)
+
+        def one(raw: bytes | None) -> tuple:
+            s = members(raw or b"")
+            node = xxhash.xxh3_64_intdigest(s.tobytes())
+            return node - (1 << 64) if node >> 63 else node, len(s), prefixes.first_members(s, levels, similarity)
 
-    prints = checkpoint(per_text(keyed, ["doc_id", "row_key"], "text", [(n, T.LongType()) for n in names], make).withColumn("node", F.xxhash64(*names)))
+        return one
+
+    prints = checkpoint(per_text(keyed, ["doc_id", "row_key"], "text", [("node", T.LongType()), ("n", T.LongType()), ("first", T.BinaryType())], make))
     order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("row_key"))
-    nodes = checkpoint(prints.groupBy("node").agg(F.min(order).alias("one"), *[F.first(n).alias(n) for n in names]))
-    parts = F.array(*[F.struct(F.lit(2 * j + k).alias("segment"), part.alias("value")) for j, n in enumerate(names) for k, part in enumerate(_segments(F.col(n)))])
-    ball = F.concat(F.array(F.col("s.value")), F.transform(F.array(*[F.lit(1 << i).cast("long") for i in range(32)]), lambda m: F.col("s.value").bitwiseXOR(m)))
-    entries = nodes.select("node", F.explode(parts).alias("s")).select(F.col("s.segment").alias("segment"), F.explode(ball).alias("value"), "node")
-    pairs = _met(entries)
-    sides = [nodes.select(F.col("node").alias(s), *[F.col(n).alias(f"{s}{n}") for n in names]) for s in "ab"]
-    apart = sum((F.bit_count(F.col(f"a{n}").bitwiseXOR(F.col(f"b{n}"))) for n in names), F.lit(0))
-    near = checkpoint(pairs.join(sides[0], "a").join(sides[1], "b").withColumn("d", apart).where(F.col("d") <= lanes * 64 // 4).select("a", "b", "d"))
-    # shingle sets of the nodes that have a near one, from one text of each
-    live = near.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("one.row_key").alias("row_key")), "node")
-    texts = keyed.select("row_key", "text").join(live, "row_key")
+    nodes = checkpoint(prints.groupBy("node").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.first("first").alias("first")))
+    met = checkpoint(prefixes.shared(prefixes.entries(nodes, similarity)))
 
     def make_sets() -> Callable[[bytes | None], tuple]:
-        return lambda raw: (np.unique(np.array(shingle_hashes(raw or b"", words, 42), dtype=np.uint64)).view(np.int64).tolist(),)
-
-    sets = checkpoint(per_text(texts, ["node"], "text", [("s", T.ArrayType(T.LongType()))], make_sets).groupBy("node").agg(F.first("s").alias("s")))
+        members = make_set()
+        return lambda raw: (members(raw or b"").view(np.int64).tolist(),)
 
     def alike(found: DataFrame) -> DataFrame:
-        both = found.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-    # first each node with the nearest it met; of the other pairs only those that this has not brought together
-    nearest = checkpoint(alike(near.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")))
-    so_far = connected_components(nearest)
-    root_of = lambda side: so_far.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    open_pairs = near.select("a", "b").join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    roots = connected_components(nearest.unionByName(alike(open_pairs)))
+        """Pairs verified on the sets of their nodes, each made from one of the node's texts."""
+        pairs = checkpoint(found)
+        live = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("one.row_key").alias("row_key")), "node")
+        texts = keyed.select("row_key", "text").join(live, "row_key")
+        sets = checkpoint(per_text(texts, ["node"], "text", [("s", T.ArrayType(T.LongType()))], make_sets).groupBy("node").agg(F.first("s").alias("s")))
+        return checkpoint(prefixes.alike(pairs, sets, similarity))
+
+    nearest = alike(prefixes.to_hubs(met, similarity))
+    rest = alike(prefixes.all_pairs(met, similarity, connected_components(nearest)))
+    roots = connected_components(nearest.unionByName(rest))
     labelled = nodes.select("node", "one").join(roots, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("one").alias("least"))
     grouped = labelled.join(least, "root").select("node", "least")
