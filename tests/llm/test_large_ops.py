@@ -153,6 +153,13 @@ def test_similar_groups_in_crowded_keys(spark):
     assert got == plain_groups(rows) and len(set(got.values())) == 500
 
 
+def test_similar_groups_of_texts_with_one_frequent_shingle(spark):
+    """A shingle that makes up most of a text doesn't make texts equal."""
+    rows = [(i, " ".join(["same"] * 120 + [f"d{i}x{k}" for k in range(80)])) for i in range(6)] + [(9, " ".join(["same"] * 90))]
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == plain_groups(rows) == {i: i for i, _ in rows}
+
+
 # --- BPE --------------------------------------------------------------------------------------------------------
 
 
