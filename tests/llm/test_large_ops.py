@@ -160,6 +160,27 @@ def test_similar_groups_of_texts_with_one_frequent_shingle(spark):
     assert got == plain_groups(rows) == {i: i for i, _ in rows}
 
 
+def test_similar_groups_equal_brute_force(spark):
+    """Passages repeated in one of two texts, and pairs about the threshold."""
+    rnd = random.Random(13)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(300)]
+        rows.append((1000 * g, " ".join(base)))
+        for k, times in enumerate((5, 10, 20)):
+            at = rnd.randrange(270)
+            rows.append((1000 * g + 1 + k, " ".join(base + base[at : at + 30] * times)))
+        other = [f"g{g}v{k}" for k in range(300)]
+        rows.append((1000 * g + 500, " ".join(other)))
+        cut = rnd.randint(28, 40)  # 300 words with the last few others: 0.8 at 32 or 33
+        rows.append((1000 * g + 501, " ".join(other[:-cut] + [f"g{g}e{k}" for k in range(cut)])))
+    rnd.shuffle(rows)
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    want = plain_groups(rows)
+    assert got == want and 0 < sum(want[1000 * g + 501] == 1000 * g + 500 for g in range(60)) < 60
+    assert all(want[1000 * g + k] == 1000 * g for g in range(60) for k in range(4))
+
+
 # --- BPE --------------------------------------------------------------------------------------------------------
 
 
