@@ -344,6 +344,21 @@ def test_near_duplicates_by_bands(spark):
     assert got == {i: (0, 5) for i in range(6)} | {10: (10, 0), 13: (10, 0), 11: (11, 0), 12: (11, 0)}
 
 
+def test_near_duplicates_in_crowded_bands(spark):
+    """More than 64 texts in a band, of which many are under 0.8 to the others."""
+    rnd = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(150):
+        cut = (i % 5) * 9
+        rows.append((i, " ".join(base[: 200 - cut] + [f"e{i // 10}x{k}" for k in range(cut)] + [f"t{i}"])))
+    rnd.shuffle(rows)
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    linked = {i: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in sets) for i in sets}
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: (c, linked[i]) for i, c in plain_groups(rows).items()} and 1 < len(set(linked.values()))
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------
 
 

@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigilframe.llm import prefixes
 from vigilframe.llm.common import checkpoint, ordinals, per_text
 from vigilframe.llm.components import connected_components
 
 WORDS = 5
+#: nodes of one band from which the other way is used; it decides the way, never the result
+CROWD = 64
 SIZE = 128
 PRIME = np.uint64((1 << 61) - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -147,13 +150,23 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", si
     return ordered.mapInArrow(run, schema)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 32, size: int = SIZE, words: int = WORDS) -> DataFrame:
+def _met_by_prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of the sets (node, s) that may be similar enough, by the sets' rarest members."""
+    members = sets.select("node", F.explode("s").alias("token"))
+    counted = members.join(members.groupBy("token").agg(F.count("*").alias("df")), "token")
+    ordered = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("m")).select("node", F.size("m").cast("long").alias("n"), "m")
+    first = ordered.select("node", "n", F.posexplode("m").alias("place", "x")).where(F.col("place") < F.col("n") - F.ceil(threshold * F.col("n") - prefixes.SLACK) + 1)
+    late = (F.col("place") > F.col("n") - F.ceil(2 * threshold / (1 + threshold) * F.col("n") - prefixes.SLACK)).cast("int")
+    rows = checkpoint(first.where("x.df > 1").select(F.col("x.token").alias("token"), late.alias("late"), "n", "node", "place"))
+    return prefixes.all_pairs(rows, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, bands: int = 32, size: int = SIZE, words: int = WORDS, crowd: int = CROWD) -> DataFrame:
     """doc_id, class_id and links: the smallest id of the row's class, and the number of other texts linked to its text.
 
-    Equal shingle sets are one node. Nodes that share a band are candidates; a band that many nodes share is compared
-    with the band's smallest node only, whose pairs are verified like all others, and with the neighbours in the order of
-    the whole signature, so candidates stay in proportion to the nodes. Links are pairs with a verified Jaccard
-    similarity of at least `threshold`.
+    Equal shingle sets are one node. Nodes that share a band are candidates; the nodes of bands that more than `crowd`
+    share meet by their rarest shingles instead (`prefixes`), which misses no pair at the threshold. Links are pairs with a
+    verified Jaccard similarity of at least `threshold`.
     """
 
     def make() -> Callable[[bytes | None], tuple]:
@@ -170,15 +183,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     nodes = signed.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
     rows = size // bands * 4
     banded = nodes.select("node", "signature", F.posexplode(F.array(*[F.substring("signature", F.lit(k * rows + 1), F.lit(rows)) for k in range(bands)])).alias("band", "value"))
-    shared = banded.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    joined = banded.join(shared, ["band", "value"])
-    hub = joined.where(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    small = joined.where("n <= 64")
-    pairs = small.select("band", "value", F.col("node").alias("a")).join(small.select("band", "value", F.col("node").alias("b")), ["band", "value"]).where("a < b").select("a", "b").unionByName(hub).distinct()
-    sets = nodes.select("node", "shingles")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    edges = checkpoint(both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+    shared = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    joined = checkpoint(banded.join(shared, ["band", "value"]).select("node", "band", "value", "n"))
+    small = joined.where(F.col("n") <= crowd)
+    pairs = small.select("band", "value", F.col("node").alias("a")).join(small.select("band", "value", F.col("node").alias("b")), ["band", "value"]).where("a < b").select("a", "b")
+    sets = nodes.select("node", F.col("shingles").alias("s"))
+    crowded = sets.join(joined.where(F.col("n") > crowd).select("node").distinct(), "node", "left_semi")
+    pairs = pairs.unionByName(_met_by_prefixes(crowded, threshold)).distinct()
+    edges = checkpoint(prefixes.alike(pairs, sets, threshold))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     roots = connected_components(edges)
     labelled = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
