@@ -161,6 +161,14 @@ def test_main_text_without_article():
     assert html_main.main_text(page) == "Head\n\nWords of the main part, more than elsewhere.\n\none\n\ntwo"
 
 
+def test_main_text_keeps_title_lead_and_all_articles():
+    long = [f"Paragraph {i} " + "of plain words that go on for a while " * 12 for i in range(40)]
+    page = "<body><div class=nav><a href=x>Home</a></div><div class=page><h1>Title</h1><p>A short lead.</p><div class=text>" + "".join(f"<p>{p}</p>" for p in long) + "</div></div><div class=footer>Imprint</div></body>"
+    assert html_main.main_blocks(page) == ["Title", "A short lead.", *(p.strip() for p in long)]
+    several = "<body>" + "".join(f"<article><h2>Part {i}</h2><p>{long[i]}</p></article>" for i in range(4)) + "<aside>Beside</aside></body>"
+    assert html_main.main_blocks(several) == [x for i in range(4) for x in (f"Part {i}", long[i].strip())]
+
+
 def test_main_text_of_the_table(spark, sf):
     """The pages' articles, read by patterns."""
     import html

@@ -2,9 +2,9 @@
 
 The standard library's parser gives events. They make lines, one for each block of text, with the characters of text
 outside and inside of links and the tags that were met. A line's ratio is text outside links over tags. Ratios are
-smoothed by a Gaussian along the page, and the lines above a threshold form clusters. The container that most of the
-clusters' text is in is the content region; all its lines belong to the main text, but those in menus, notices and the
-like, which have ratio 0.
+smoothed by a Gaussian along the page, and the lines above a threshold form clusters. The content regions are the article
+and main elements if they have most of the clusters' text, else the deepest container that holds all clusters; all their
+lines belong to the main text, but those in menus, notices and the like, which are left out.
 """
 
 from __future__ import annotations
@@ -185,6 +185,32 @@ def clusters(ratios: list[float]) -> list[tuple[int, int]]:
     return runs
 
 
+def grown(ratios: list[float], runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The runs, each with the lines before and after it up to one without text outside links: titles, leads, short ends.
+    Runs that grow together become one."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in runs:
+        while lo > 0 and ratios[lo - 1] > 0:
+            lo -= 1
+        while hi < len(ratios) and ratios[hi] > 0:
+            hi += 1
+        if out and lo <= out[-1][1]:
+            lo, hi = min(lo, out[-1][0]), max(hi, out.pop()[1])
+        out.append((lo, hi))
+    return out
+
+
+def _mass(parser: LineParser, lines: list[Line], ratios: list[float], runs: list[tuple[int, int]]) -> dict[int, int]:
+    """Characters of the runs' lines with text outside links, in each container around them."""
+    mass: dict[int, int] = defaultdict(int)
+    for lo, hi in runs:
+        for line, ratio in zip(lines[lo:hi], ratios[lo:hi], strict=True):
+            if ratio > 0:
+                for c in parser._up(line.container):
+                    mass[c] += len(line.text)
+    return mass
+
+
 def main_blocks(html: str) -> list[str]:
     parser = LineParser()
     parser.feed(html)
@@ -192,22 +218,18 @@ def main_blocks(html: str) -> list[str]:
     parser.end_line()
     lines = [line for line in parser.lines if not line.apart]
     ratios = [line.ratio() for line in lines]
-    mass: dict[int, float] = defaultdict(float)
-    for lo, hi in clusters(ratios):
-        for line, ratio in zip(lines[lo:hi], ratios[lo:hi], strict=True):
-            if ratio > 0:
-                for c in parser._up(line.container):
-                    mass[c] += len(line.text)
+    runs = clusters(ratios)
+    mass = _mass(parser, lines, ratios, runs)
     if not mass:
         return []
-    # the deepest container that has most of the text of the clusters; an article element that has it goes first
-    whole = mass[0]
-    articles = [c for c in mass if parser.kinds[c] in ("article", "main") and mass[c] * 2 > whole]
-    fitting = articles or [c for c in mass if mass[c] * 10 >= whole * 9]
-    region = max(fitting)
-    if not articles:
-        region = min((c for c in mass if parser.kinds[c] in ("article", "main")), key=lambda c: -mass[c], default=region)
-    return [line.text for line in lines if region in parser._up(line.container)]
+    # article and main elements that have most of the clusters' text, each with all that is in it
+    marked = {c for c in mass if parser.kinds[c] in ("article", "main")}
+    regions = {c for c in marked if not marked.intersection(parser._up(parser.parents[c]))}
+    if sum(mass[c] for c in regions) * 2 <= mass[0]:
+        # else the deepest container that holds all clusters, and the lines next to them that have text outside links
+        mass = _mass(parser, lines, ratios, grown(ratios, runs))
+        regions = {max(c for c in mass if mass[c] == mass[0])}
+    return [line.text for line in lines if regions.intersection(parser._up(line.container))]
 
 
 def main_text(html: str) -> str:
