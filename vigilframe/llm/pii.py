@@ -44,7 +44,7 @@ _PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}
 _SECRET = r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<=(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9_/+.-]{8,}"
 PATTERN = "|".join([_EMAIL, _SECRET, _SSN, _CARD, _IP, _PHONE, _GIVEN, _FAMILY])
 #: every text that PATTERN matches matches this too; most texts don't, and go on unchanged
-QUICK = r"[@\d]|password|passwd|token|secret|api_key|apikey|(?=\p{Lu})(?<!\p{L})(?:" + _ALL_GIVEN + "|" + "|".join(TITLES) + r")\.?[ \xA0]\p{Lu}"
+QUICK = r"[@\d]|A(?:KI|SI)A[0-9A-Z]{16}|password|passwd|token|secret|api_key|apikey|(?=\p{Lu})(?<!\p{L})(?:" + _ALL_GIVEN + "|" + "|".join(TITLES) + r")\.?[ \xA0]\p{Lu}"
 
 
 def _given_lookup() -> dict[str, tuple[str, int]]:
