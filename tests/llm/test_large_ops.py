@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from vigilframe.llm import bpe, components, minhash, registry, simhash, substrings, suffixes, toxicity
+from vigilframe.llm import bpe, components, minhash, prefixes, registry, simhash, substrings, suffixes, toxicity
 
 DOCS = "doc_id long, text string, fp int, node int, known int"
 
@@ -181,6 +181,49 @@ def test_similar_groups_equal_brute_force(spark):
     assert all(want[1000 * g + k] == 1000 * g for g in range(60) for k in range(4))
 
 
+def test_similar_groups_of_many_near_copies(spark):
+    """Copies of one text, each with its own changes: the original links those at 0.8, wherever its row is, and whatever the
+    batches and partitions are."""
+    rnd = random.Random(15)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(7, " ".join(base))]
+    for i in range(500):
+        copy = list(base)
+        for at in rnd.sample(range(150), rnd.randint(1, 8)):
+            copy[at] = f"e{i}x{at}"
+        rows.append((1000 + i, " ".join(copy)))
+    rnd.shuffle(rows)
+    want = plain_groups(rows)
+    assert 100 < sum(g == 7 for g in want.values()) < 490
+    batch, parts = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions"
+    before = spark.conf.get(batch), spark.conf.get(parts)
+    try:
+        for size, n in ((7, 31), (1000, 2)):
+            spark.conf.set(batch, size)
+            spark.conf.set(parts, n)
+            got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, rows).repartition(n)).collect()}
+            assert got == want
+    finally:
+        spark.conf.set(batch, before[0])
+        spark.conf.set(parts, before[1])
+
+
+def test_tokens_of_crowds_are_dealt_to_several_buckets(spark):
+    """The same pairs whether a token's entries meet in one bucket or in several."""
+    rnd = random.Random(16)
+    sets = [np.unique(np.array([rnd.randrange(40) * 7919 for _ in range(40)], np.uint64)) for _ in range(120)]
+    levels = spark.sparkContext.broadcast(bytes(prefixes.COUNTERS))
+    high = spark.sparkContext.broadcast(bytes([64]) * prefixes.COUNTERS)
+    zero = np.zeros(prefixes.COUNTERS, np.uint8)
+    rows = spark.createDataFrame([(k, len(x), prefixes.first_members(x, zero, 0.5)) for k, x in enumerate(sets)], "node long, n long, first binary")
+    found = []
+    for table, crowd in ((levels, 100_000), (high, 3)):
+        met = prefixes.shared(rows.unionByName(rows), 0.5, table, crowd=crowd)
+        found.append({tuple(sorted((r["a"], r["b"]))) for r in prefixes.all_pairs(met, 0.5).collect()})
+    true = {(i, j) for i in range(120) for j in range(i + 1, 120) if len(np.intersect1d(sets[i], sets[j])) * 3 >= len(sets[i]) + len(sets[j])}
+    assert found[0] == found[1] >= true and true
+
+
 # --- BPE --------------------------------------------------------------------------------------------------------
 
 

@@ -174,23 +174,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
         def one(raw: bytes | None) -> tuple:
             s = shingles(raw or b"", known, words)
-            return hashlib.md5(s.tobytes()).hexdigest(), signature(s, a, b).tobytes(), s.view(np.int64).tolist()
+            return hashlib.md5(s.tobytes()).hexdigest(), signature(s, a, b).tobytes(), s.view(np.int64).tolist(), s.astype("<u8").tobytes()
 
         return one
 
-    fields = [("node", T.StringType()), ("signature", T.BinaryType()), ("shingles", T.ArrayType(T.LongType()))]
+    fields = [("node", T.StringType()), ("signature", T.BinaryType()), ("shingles", T.ArrayType(T.LongType())), ("packed", T.BinaryType())]
     signed = checkpoint(per_text(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", fields, make))
-    nodes = signed.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"))
+    nodes = signed.groupBy("node").agg(F.first("signature").alias("signature"), F.first("shingles").alias("shingles"), F.first("packed").alias("packed"))
     rows = size // bands * 4
     banded = nodes.select("node", "signature", F.posexplode(F.array(*[F.substring("signature", F.lit(k * rows + 1), F.lit(rows)) for k in range(bands)])).alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     joined = checkpoint(banded.join(shared, ["band", "value"]).select("node", "band", "value", "n"))
     small = joined.where(F.col("n") <= crowd)
     pairs = small.select("band", "value", F.col("node").alias("a")).join(small.select("band", "value", F.col("node").alias("b")), ["band", "value"]).where("a < b").select("a", "b")
-    sets = nodes.select("node", F.col("shingles").alias("s"))
+    sets = nodes.select("node", F.col("shingles").alias("s"), "packed")
     crowded = sets.join(joined.where(F.col("n") > crowd).select("node").distinct(), "node", "left_semi")
     pairs = pairs.unionByName(_met_by_prefixes(crowded, threshold)).distinct()
-    edges = checkpoint(prefixes.alike(pairs, sets, threshold))
+    edges = checkpoint(prefixes.alike(pairs, sets.select("node", F.col("packed").alias("s")), threshold))
     degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     roots = connected_components(edges)
     labelled = signed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))

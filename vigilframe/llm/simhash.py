@@ -179,27 +179,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
         return one
 
-    prints = checkpoint(per_text(keyed, ["doc_id", "row_key"], "text", [("node", T.LongType()), ("n", T.LongType()), ("first", T.BinaryType())], make))
+    fields = [("node", T.LongType()), ("n", T.LongType()), ("first", T.BinaryType())]
+    prints = checkpoint(per_text(keyed, ["doc_id", "row_key"], "text", fields, make))
     order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("row_key"))
-    nodes = checkpoint(prints.groupBy("node").agg(F.min(order).alias("one"), F.first("n").alias("n"), F.first("first").alias("first")))
-    met = checkpoint(prefixes.shared(prefixes.entries(nodes, similarity)))
+    nodes = checkpoint(prints.groupBy("node").agg(F.min(order).alias("one")))
+    met = checkpoint(prefixes.shared(prints, similarity, table))
 
-    def make_sets() -> Callable[[bytes | None], tuple]:
+    def make_sets() -> Callable[[bytes], bytes]:
         members = make_set()
-        return lambda raw: (members(raw or b"").view(np.int64).tolist(),)
+        return lambda raw: members(raw).astype("<u8").tobytes()
 
     def alike(found: DataFrame) -> DataFrame:
         """Pairs verified on the sets of their nodes, each made from one of the node's texts."""
         pairs = checkpoint(found)
         live = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("one.row_key").alias("row_key")), "node")
-        texts = keyed.select("row_key", "text").join(live, "row_key")
-        sets = checkpoint(per_text(texts, ["node"], "text", [("s", T.ArrayType(T.LongType()))], make_sets).groupBy("node").agg(F.first("s").alias("s")))
+        sets = checkpoint(prefixes.sets_of(keyed, live, make_sets))
         return checkpoint(prefixes.alike(pairs, sets, similarity))
 
     nearest = alike(prefixes.to_hubs(met, similarity))
     rest = alike(prefixes.all_pairs(met, similarity, connected_components(nearest)))
     roots = connected_components(nearest.unionByName(rest))
-    labelled = nodes.select("node", "one").join(roots, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
+    labelled = nodes.join(roots, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("one").alias("least"))
     grouped = labelled.join(least, "root").select("node", "least")
     return prints.select("doc_id", "row_key", "node").join(grouped, "node").select("doc_id", "row_key", F.col("least.doc_id").alias("group_id"), (F.col("row_key") == F.col("least.row_key")).alias("first"))
