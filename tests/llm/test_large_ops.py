@@ -248,6 +248,20 @@ def test_bpe_equals_the_library(spark, sf):
     assert bpe.encode_digests(frame(spark, []), path, ["doc_id"]).count() == 0
 
 
+def test_bpe_knows_every_code_point():
+    """Alone and between letters and digits, 32 to a text, against the library; also random texts of all planes."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = registry.tokenizer_path()
+    library, own = tokenizers.Tokenizer.from_file(path), bpe.vocabulary(path)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"{c} a{c}b 1{c}." for c in points[lo : lo + 32]) for lo in range(0, len(points), 32)]
+    rnd = random.Random(4)
+    texts += ["".join(rnd.choice(points) for _ in range(rnd.randrange(1, 60))) for _ in range(2000)]
+    for lo in range(0, len(texts), 1000):
+        for text, want in zip(texts[lo : lo + 1000], library.encode_batch(texts[lo : lo + 1000], add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == want.ids
+
+
 def test_a_word_that_is_forgotten_is_encoded_again(monkeypatch):
     own = bpe.Vocabulary(registry.tokenizer_path())
     first = own.encode("alpha beta gamma alpha")

@@ -19,14 +19,14 @@ from collections.abc import Callable
 
 import ahocorasick
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from vigilframe.llm.common import per_text
 
 #: words of which a task remembers the tokens; forgetting changes nothing but the time
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 NEVER = 1 << 30
 
 
@@ -37,6 +37,34 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+@functools.cache
+def library_classes() -> dict[str, list[list[int]]]:
+    """First and last code points of the runs of letters (L), numbers (N) and white space (s), as the library's expressions know
+    them. Python's own tables are of other Unicode versions, so they are read off the library, over all code points."""
+    out: dict[str, list[list[int]]] = {}
+    for name, pattern in (("L", r"\p{L}"), ("N", r"\p{N}"), ("s", r"\s")):
+        pick, runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True), out.setdefault(name, [])
+        for lo in range(0, 0x110000, 1 << 16):
+            text = "".join(chr(c) for c in range(lo, lo + (1 << 16)) if not 0xD800 <= c < 0xE000)
+            for c in sorted(ord(c) for piece, _ in pick.pre_tokenize_str(text) for c in piece):
+                if runs and runs[-1][1] == c - 1:
+                    runs[-1][1] = c
+                else:
+                    runs.append([c, c])
+    return out
+
+
+def _explicit(pattern: str, end: int) -> str:
+    """The pattern with its classes listed, for texts of code points below `end`."""
+    for name, runs in library_classes().items():
+        listed = "".join(f"\\U{a:08x}-\\U{min(b, end - 1):08x}" for a, b in runs if a < end)
+        if name == "s":
+            pattern = pattern.replace(r"[^\s", f"[^{listed}")
+        else:
+            pattern = pattern.replace(rf"\p{{{name}}}", listed)
+    return pattern
+
+
 class Vocabulary:
     """Tokens, merges, and the automaton of one tokenizer file of kind BPE with an end-of-word suffix."""
 
@@ -52,16 +80,12 @@ class Vocabulary:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for token, i in self.special.items():
             self.names[i] = token.encode()
-        self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.words = regex.compile(pattern)
-        # texts without letters from U+0250 on get the same words from the faster module: its classes are listed in full
-        letters = "".join(c for c in map(chr, range(0x250)) if regex.match(r"\p{L}", c))
-        numbers = "".join(c for c in map(chr, range(0x250)) if regex.match(r"\p{N}", c))
-        spaces = "".join(c for c in map(chr, range(0x250)) if regex.match(r"\s", c))
-        plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]").replace(r"[\p{L}]", f"[{letters}]").replace(r"[\p{N}]", f"[{numbers}]")
-        self.plain_words = None if r"\p" in plain else re.compile(plain)
-        self.beyond = re.compile("[\u0250-\U0010ffff]")
+        # one expression for each plane of code points a text stays in: wide classes are slow to test
+        self.planes = [(None if end > 0x10FFFF else re.compile(f"[{chr(end)}-\U0010ffff]"), re.compile(_explicit(pattern, end))) for end in (0x250, 0x10000, 0x110000)]
+        self.beyond = self.planes[0][0]
+        self.newer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         self.letters = _byte_letters()
         self._edges([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self._automaton()
@@ -126,7 +150,7 @@ class Vocabulary:
                 pair = before << 20 | token
                 ok = apart.get(pair)
                 if ok is None:
-                    if len(apart) > 400_000:
+                    if len(apart) > 150_000:
                         apart.clear()
                     ok = apart[pair] = not self._crossed(before, token)
                 if not ok:
@@ -141,20 +165,21 @@ class Vocabulary:
         return out[::-1]
 
     def normal(self, text: str) -> str:
-        """NFC and lower case letter by letter, so a sigma at a word's end stays a sigma. White space needs no change here: the words leave it out."""
-        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+        """NFC and lower case letter by letter, so a sigma at a word's end stays a sigma. White space needs no change here: the
+        words leave it out. Texts with newer letters are left to the library's own tables, whose Unicode version differs."""
+        return self.newer.normalize_str(text) if self.beyond.search(text) else unicodedata.normalize("NFC", text).lower()
 
     def _pieces(self, text: str) -> bytes:
         known, out = self.known, []
         text = self.normal(text)
-        words = self.words if self.plain_words is None or self.beyond.search(text) else self.plain_words
+        words = next(words for outside, words in self.planes if outside is None or not outside.search(text))
         for word in words.findall(text):
             ids = known.get(word)
             if ids is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
                 ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
-                if len(word) <= 64:
+                if len(word) <= 32:
                     known[word] = ids
             out.append(ids)
         return b"".join(out)
