@@ -51,10 +51,11 @@ def ordinals(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataF
 
 
 #: rows in an Arrow batch at most, so that a batch of long texts stays small on both sides of a Python worker's pipe
-BATCH = 1024
+BATCH = 256
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows in an Arrow batch to BATCH. It stays so: plans are run later, by whoever writes the result."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH:
         spark.conf.set(name, str(BATCH))
