@@ -1,5 +1,6 @@
 """Chats, mixing, Ogg, PII, HTML: round trips, brute force and edge cases."""
 
+import time
 import hashlib
 import os
 import re
@@ -178,6 +179,33 @@ def test_main_text_keeps_title_lead_and_all_articles():
     assert html_main.main_blocks(several) == [x for i in range(4) for x in (f"Part {i}", long[i].strip())]
 
 
+ARTICLE = "A paragraph with a good many words about the subject of the page, so that it is long enough. " * 4
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f'<article><h1>T</h1><p>{ARTICLE}</p><h2 id="search">Search</h2><p>{ARTICLE}</p><h2 id="related-work">Related work</h2><p>x y</p></article>', ["T", ARTICLE, "Search", ARTICLE, "Related work", "x y"]),
+        (f'<article><div class="article-header"><h1>Title</h1></div><p>{ARTICLE}</p></article>', ["Title", ARTICLE]),
+        (f'<div class="header"><h1>Site</h1></div><article><h1>T</h1><p>{ARTICLE}</p></article><div id="comments"><p>{ARTICLE * 9}</p></div>', ["T", ARTICLE]),
+        (f"<article><p>Let <math><mi>x</mi></math> be. {ARTICLE}</p></article>", [f"Let x be. {ARTICLE}"]),
+        (f"<body><div><p>{ARTICLE}</p></div><div><p>tiny</p></div></body>", [ARTICLE, "tiny"]),
+        (f'<body class="has-sidebar"><div class="page sidebar-right"><h1>T</h1><p>{ARTICLE}</p></div><div class="sidebar"><p>beside</p></div></body>', ["T", ARTICLE]),
+        (f'<body><p class="ad-lead">{ARTICLE}</p><section class="newsletter"><p>Sign up</p></section></body>', [ARTICLE]),
+        (f"<p>{ARTICLE} a <b c", [f"{ARTICLE} a <b c"]),
+    ],
+)
+def test_main_text_is_not_lost_to_names(html, want):
+    assert html_main.main_blocks(html) == [" ".join(x.split()) for x in want]
+
+
+def test_main_text_in_linear_time():
+    for html in ("<div>" * 100_000 + ARTICLE + "</div>" * 100_000, "<div>x</span>" * 50_000, ARTICLE + "<" * 100_000, ARTICLE + "<a " * 100_000, "<li>" * 50_000 + ARTICLE, "<p><b>" * 50_000 + "</i>" * 50_000):
+        began = time.process_time()
+        html_main.main_blocks(html)
+        assert time.process_time() - began < 4, html[:20]
+
+
 def test_main_text_of_the_table(spark, sf):
     """The pages' articles, read by patterns."""
     import html

@@ -29,50 +29,64 @@ BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
     "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
-HIDDEN = {"head", "title", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
+HIDDEN = {"head", "title", "script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "datalist"}
 APART = {"nav", "aside", "footer", "form", "menu", "dialog"}
 CONTAINERS = {"html", "body", "article", "main", "section", "div", "table", "tbody", "tr", "td", "center", "blockquote"}
-# Words of class, id and role that name parts beside the article.
-BESIDE = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "copyright", "disqus", "footer",
-    "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "outbrain", "pager", "pagination", "popup", "promo", "promoted", "related", "replies",
-    "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "topbar", "widget", "contentinfo", "complementary",
-    "alert", "alertdialog", "reviews",
-}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+# Choices of this operator: elements whose class, id and role can name a part beside the article, the words that do, those of
+# them that name readers' comments, and words that name the article's own parts.
+NAMED = {"div", "section", "ul", "ol", "dl", "table", "td", "header", "center", "span", "details", "figure", "fieldset"}
+COMMENTS = {"comment", "comments", "disqus", "replies", "respond", "reviews"}
+BESIDE = COMMENTS | {
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "alert", "alertdialog", "banner", "breadcrumb", "breadcrumbs", "complementary", "consent", "contentinfo", "cookie", "cookies",
+    "copyright", "footer", "gdpr", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "outbrain", "pager", "pagination", "popup", "promo", "promoted",
+    "related", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "taboola", "toolbar", "topbar", "widget",
+}
+OWN = {"article", "post", "entry", "story", "content"}
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SIGMA = 2.0
+#: lines that a part with a name of the kind must have to count as a wrapper of the page
+WRAPPED = 4
 
 
 class Line:
-    __slots__ = ("parts", "linked", "tags", "container", "apart", "text")
+    __slots__ = ("parts", "linked", "tags", "container", "part", "text")
 
-    def __init__(self, container: int, apart: bool) -> None:
+    def __init__(self, container: int, part: int) -> None:
         self.parts: list[str] = []
-        self.linked, self.tags, self.container, self.apart, self.text = 0, 0, container, apart, ""
+        self.linked, self.tags, self.container, self.part, self.text = 0, 0, container, part, ""
 
     def ratio(self) -> float:
         return max(0, len(self.text) - self.linked) / max(1, self.tags)
 
 
 @functools.lru_cache(4096)
-def _names_beside(values: tuple[str, ...]) -> tuple[bool, bool]:
-    """Whether class, id or role name a part beside the article, and whether one names the main part."""
-    words = {w for v in values for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())}
-    return bool(words & BESIDE), "main" in words
+def _words(values: tuple[str, ...]) -> frozenset[str]:
+    return frozenset(w for v in values for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
+
+
+class Part:
+    """A part of the page that may be beside the article. sure: told by its element, or readers' comments; own: of an article by
+    its place or name; titled: holds a main heading."""
+
+    __slots__ = ("parent", "sure", "own", "titled", "mass", "lines")
+
+    def __init__(self, parent: int, sure: bool, own: bool) -> None:
+        self.parent, self.sure, self.own, self.titled, self.mass, self.lines = parent, sure, own, False, 0, 0
 
 
 class LineParser(HTMLParser):
-    """Turns events into lines. open: tag, number of the container, whether hidden, whether beside the article."""
+    """Turns events into lines. Each open element: tag, number of its container, whether hidden, number of its part, whether in
+    an article. Every event costs the elements that it opens or closes, whatever the depth is."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-        self.parents = {0: -1}
-        self.kinds = {0: ""}
-        self.links = 0
-        self.line = Line(0, False)
+        self.open: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]
+        self.held: dict[str, int] = defaultdict(int)
+        self.parents, self.kinds = [-1], [""]
+        self.page_parts = [Part(-1, False, False)]
+        self.line = Line(0, 0)
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers aren't needed."""
@@ -80,14 +94,14 @@ class LineParser(HTMLParser):
 
     def end_line(self) -> None:
         line = self.line
-        _, container, _, apart = self.open[-1]
+        _, container, _, part, _ = self.open[-1]
         if line.parts:
             line.text = " ".join("".join(line.parts).split())
             if line.text:
                 self.lines.append(line)
-            self.line = Line(container, apart)
+            self.line = Line(container, part)
         else:
-            line.container, line.apart = container, apart
+            line.container, line.part = container, part
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag == "br":
@@ -102,37 +116,42 @@ class LineParser(HTMLParser):
         if tag in CLOSES:
             for inner in CLOSES[tag]:
                 self._close(inner, {"ul", "ol", "table", "dl", "select"})
-        _, container, hidden, apart = self.open[-1]
-        beside, main, gone = tag in APART, False, hidden or tag in HIDDEN
-        if tag == "header":
-            beside = not any(self.kinds[c] in ("article", "main") for c in self._up(container))
-        if attrs:
-            named, main = _names_beside(tuple(v for k, v in attrs if v and k in ("class", "id", "role")))
-            beside = beside or (named and tag not in ("html", "body", "article", "main"))
-            gone = gone or any(k == "hidden" or (k == "aria-hidden" and (v or "").lower() == "true") or (k == "style" and v and INVISIBLE.search(v)) for k, v in attrs)
+        _, container, hidden, part, inside = self.open[-1]
+        words = _words(tuple(v for k, v in attrs if v and k in ("class", "id", "role"))) if attrs else frozenset()
+        gone = hidden or tag in HIDDEN or any(k == "hidden" or (k == "aria-hidden" and (v or "").lower() == "true") or (k == "style" and v and INVISIBLE.search(v)) for k, v in attrs)
+        sure = tag in APART or (tag == "header" and not inside) or (tag in NAMED and bool(words & COMMENTS))
+        before = part
+        if sure or (tag in NAMED and words & BESIDE):
+            part = len(self.page_parts)
+            self.page_parts.append(Part(before, sure, inside or bool(words & OWN)))
+        main = tag in ("article", "main") or (tag == "div" and "main" in words)
         if tag in CONTAINERS:
-            number = len(self.parents)
-            self.parents[number], self.kinds[number] = container, "main" if main and tag == "div" else tag
-            container = number
-        self.open.append((tag, container, gone, apart or beside))
-        if tag in BLOCKS or apart or beside != apart:
+            self.parents.append(container)
+            self.kinds.append("main" if main and tag == "div" else tag)
+            container = len(self.parents) - 1
+        if tag == "h1":
+            self.page_parts[part].titled = True
+        self._push((tag, container, gone, part, inside or main))
+        if tag in BLOCKS or part != before:
             self.end_line()
-        self.links += tag == "a"
         self.line.tags += 1
 
-    def _up(self, container: int) -> list[int]:
-        out = []
-        while container >= 0:
-            out.append(container)
-            container = self.parents[container]
-        return out
+    def _push(self, element: tuple[str, int, bool, int, bool]) -> None:
+        self.open.append(element)
+        self.held[element[0]] += 1
+
+    def _pop(self, k: int) -> None:
+        for tag, *_ in self.open[k:]:
+            self.held[tag] -= 1
+        del self.open[k:]
 
     def _close(self, tag: str, border: set[str]) -> None:
         """Close the nearest open tag unless a border element is between."""
+        if not self.held[tag]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                self.links -= sum(t == "a" for t, *_ in self.open[k:])
-                del self.open[k:]
+                self._pop(k)
                 self.end_line()
                 return
             if self.open[k][0] in border or (tag == "p" and self.open[k][0] in CONTAINERS):
@@ -140,25 +159,48 @@ class LineParser(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.line.tags += 1
+        if not self.held[tag]:
+            return
+        inline = tag not in BLOCKS
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                gone = self.open[k:]
-                if tag not in BLOCKS and any(t in BLOCKS for t, *_ in gone):
-                    return  # an inline end tag closes no block
-                self.links -= sum(t == "a" for t, *_ in gone)
                 was = self.open[-1][3]
-                del self.open[k:]
-                if tag in BLOCKS or was != self.open[-1][3]:
+                self._pop(k)
+                if not inline or was != self.open[-1][3]:
                     self.end_line()
                 return
+            if inline and self.open[k][0] in BLOCKS:
+                return  # an inline end tag closes no block
 
     def handle_data(self, data: str) -> None:
         if self.open[-1][2]:
             return
         self.line.parts.append(data)
-        if self.links:
+        if self.held["a"]:
             self.line.linked += len("".join(data.split()))
 
+    def beside(self) -> list[bool]:
+        """Which parts are left out: those told by their element, readers' comments, and those that only a class, an id or a role
+        names, unless they hold most of the text in a title or several lines, or the title of an article that they belong to."""
+        parts, sure = self.page_parts, [False]
+        for part in parts[1:]:
+            sure.append(part.sure or sure[part.parent])
+        total = 0
+        for line in self.lines:
+            mass = max(0, len(line.text) - line.linked)
+            parts[line.part].mass += mass
+            parts[line.part].lines += 1
+            total += 0 if sure[line.part] else mass
+        for k in range(len(parts) - 1, 0, -1):
+            part, above = parts[k], parts[parts[k].parent]
+            if not part.sure:
+                above.mass, above.lines, above.titled = above.mass + part.mass, above.lines + part.lines, above.titled or part.titled
+        out = [False]
+        for part in parts[1:]:
+            most = part.mass * 2 > total and (part.titled or part.lines >= WRAPPED)
+            out.append(out[part.parent] or part.sure or not (most or part.titled and part.own))
+        return out
+
 
 def smooth(values: list[float], sigma: float = SIGMA) -> np.ndarray:
     """Gaussian means; at the ends the weights inside the page are scaled to one."""
@@ -200,36 +242,45 @@ def grown(ratios: list[float], runs: list[tuple[int, int]]) -> list[tuple[int, i
     return out
 
 
-def _mass(parser: LineParser, lines: list[Line], ratios: list[float], runs: list[tuple[int, int]]) -> dict[int, int]:
-    """Characters of the runs' lines with text outside links, in each container around them."""
-    mass: dict[int, int] = defaultdict(int)
+def _mass(parser: LineParser, lines: list[Line], ratios: list[float], runs: list[tuple[int, int]]) -> list[int]:
+    """Characters of the runs' lines with text outside links, in each container. A container's number is above its parent's."""
+    mass = [0] * len(parser.parents)
     for lo, hi in runs:
         for line, ratio in zip(lines[lo:hi], ratios[lo:hi], strict=True):
             if ratio > 0:
-                for c in parser._up(line.container):
-                    mass[c] += len(line.text)
+                mass[line.container] += len(line.text)
+    for c in range(len(mass) - 1, 0, -1):
+        mass[parser.parents[c]] += mass[c]
     return mass
 
 
 def main_blocks(html: str) -> list[str]:
     parser = LineParser()
-    parser.feed(html)
+    tail = html.rfind(">") + 1  # no tag ends after it: a "<" there is text, and would be tried as a tag to the end each time
+    parser.feed(html[:tail] + html[tail:].replace("<", "&lt;"))
     parser.close()
     parser.end_line()
-    lines = [line for line in parser.lines if not line.apart]
+    left_out = parser.beside()
+    lines = [line for line in parser.lines if not left_out[line.part]]
     ratios = [line.ratio() for line in lines]
     runs = clusters(ratios)
     mass = _mass(parser, lines, ratios, runs)
-    if not mass:
+    if not mass[0]:
         return []
-    # article and main elements that have most of the clusters' text, each with all that is in it
-    marked = {c for c in mass if parser.kinds[c] in ("article", "main")}
-    regions = {c for c in marked if not marked.intersection(parser._up(parser.parents[c]))}
+    # article and main elements that have text of the clusters, each with all that is in it; the outermost count
+    marked, above = [False] * len(mass), [False] * len(mass)
+    for c in range(1, len(mass)):
+        above[c] = above[parser.parents[c]] or marked[parser.parents[c]]
+        marked[c] = mass[c] > 0 and parser.kinds[c] in ("article", "main")
+    regions = {c for c in range(len(mass)) if marked[c] and not above[c]}
     if sum(mass[c] for c in regions) * 2 <= mass[0]:
         # else the deepest container that holds all clusters, and the lines next to them that have text outside links
         mass = _mass(parser, lines, ratios, grown(ratios, runs))
-        regions = {max(c for c in mass if mass[c] == mass[0])}
-    return [line.text for line in lines if regions.intersection(parser._up(line.container))]
+        regions = {max(c for c in range(len(mass)) if mass[c] == mass[0])}
+    inside = [0 in regions] * len(mass)
+    for c in range(1, len(mass)):
+        inside[c] = c in regions or inside[parser.parents[c]]
+    return [line.text for line in lines if inside[line.container]]
 
 
 def main_text(html: str) -> str:
@@ -238,7 +289,8 @@ def main_text(html: str) -> str:
 
 def extract(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """keys, text and n_chars (code points) for each page. Null or empty html, and pages without text outside menus
-    and the like, have an empty text."""
+    and the like, have an empty text. Repeated rows stay; other columns are ignored, whatever their names; empty input gives an
+    empty result. A page's time follows its length, however deep its elements are."""
 
     def make() -> Callable[[bytes | None], tuple]:
         def one(raw: bytes | None) -> tuple:
