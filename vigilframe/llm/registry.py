@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def surrogate_key() -> str:
+    """Of the surrogates. The default is for the synthetic tables; elsewhere give a secret of one's own in the environment."""
+    return os.environ.get("SURROGATE_KEY", "synthetic tables")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -45,7 +51,7 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_key())
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
