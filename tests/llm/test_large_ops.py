@@ -274,20 +274,51 @@ def test_a_word_that_is_forgotten_is_encoded_again(monkeypatch):
 
 
 def test_counterfactuals_stop_blame_for_mentions():
+    """Attacks in the sample name one group much more often than neutral texts do."""
     rnd = random.Random(2)
     words = [f"w{i}" for i in range(60)]
-
-    def text(*extra):
-        return toxicity.word_keys(" ".join(rnd.sample(words, 12) + list(extra)))
-
-    # attacks in the sample name one group much more often than neutral texts do
+    text = lambda *extra: " ".join(rnd.sample(words, 12) + list(extra))
     texts = [text("idiot", "muslim") for _ in range(60)] + [text("idiot") for _ in range(20)] + [text() for _ in range(150)] + [text("christian") for _ in range(20)] + [text("muslim") for _ in range(8)]
-    labels = [1] * 80 + [0] * 178
-    fair, plain = toxicity.fit(texts, labels), toxicity.fit(texts, labels, fairness=0.0)
+    texts += [text("muslim", "and", "christian") for _ in range(4)]
+    labels = [1] * 80 + [0] * 182
+    sets, swapped = [toxicity.word_keys(t) for t in texts], [toxicity.word_keys(toxicity.counterfactual(t)) for t in texts]
+    fair, plain = toxicity.fit(sets, labels, swapped), toxicity.fit(sets, labels, swapped, fairness=0.0)
     gap = lambda m: abs(m.score(toxicity.word_keys("w1 w2 muslim")) - m.score(toxicity.word_keys("w1 w2 christian")))
     assert gap(fair) < 0.5 * gap(plain) and gap(fair) < 0.1
     assert fair.score(toxicity.word_keys("w1 muslim w3")) < 0.5 < fair.score(toxicity.word_keys("w1 idiot"))
-    assert toxicity.fit([], []).score(set()) == pytest.approx(0.5) and toxicity.fit(texts[:3], [1, 1, 1]).score(set()) > 0.5
+    # the share of neutral sentences that are taken for attacks only because they name a group
+    neutral = [text(term) for line in toxicity.IDENTITY for term in line]
+    assert toxicity.mention_gap(fair, neutral) == 0 and toxicity.mention_gap(plain, neutral) >= toxicity.mention_gap(fair, neutral)
+    assert toxicity.fit([], []).score(set()) == pytest.approx(0.5) and toxicity.fit(sets[:3], [1, 1, 1]).score(set()) > 0.5
+
+
+def test_counterfactual_texts():
+    assert toxicity.counterfactual("A Muslim, and a CHRISTIAN; die Türken. manly") == "a jewish, and a muslim; die polen. manly"
+    terms = [w for line in toxicity.IDENTITY for w in line]
+    assert len(terms) == len(set(terms)) and all(toxicity.counterfactual(w) != w for w in terms)
+
+
+def test_scores_equal_a_plain_sum():
+    """A model's score is the logistic function of its bias and the weights of a text's distinct words and stems."""
+    rnd = random.Random(3)
+    words = ["idiot", "stupid", "kind", "people", "Wörter", "ÉTÉ"]
+    model = toxicity.Model({zlib.crc32(k.encode()): rnd.uniform(-2, 2) for w in words for k in (w.lower(), *("^" + w.lower()[:n] for n in (4, 5, 6) if len(w) > n))}, -0.5)
+    for _ in range(50):
+        text = " ".join(rnd.choice(words) for _ in range(rnd.randrange(6)))
+        found = {w.lower() for w in text.split()}
+        features = found | {"^" + w[:n] for w in found for n in (4, 5, 6) if len(w) > n}
+        want = 1 / (1 + np.exp(0.5 - sum(model.weights[zlib.crc32(f.encode())] for f in features)))
+        assert model.score(toxicity.word_keys(text)) == pytest.approx(want)
+
+
+def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
+    """Ids that occur in many rows count once."""
+    docs = frame(spark, [(i % 40, f"text {i % 40} word{i}") for i in range(4000)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, toxic int, text int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, swapped: seen.append((len(texts), len(y), len(swapped))))
+    toxicity.train(docs, labels, sample=10)
+    assert seen == [(10, 10, 10)]
 
 
 def test_held_out_accuracy(spark):

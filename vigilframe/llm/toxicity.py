@@ -4,10 +4,10 @@ A text's features are the words it has and the beginnings of its words, so that
 are known by their stem. Only features that toxic texts have more often than others are weighed: the many harmless words of
 a long text then don't add up against a few attacks.
 
-The classifier is fitted on a bounded sample of labelled texts. For each sample text that names a group, a
-counterfactual text is made by swapping the group's term for another of the same kind. The loss has, beside the log
-loss, the squared change of the score's logit between a text and its counterfactual, so that the score doesn't depend on which
-group is named, and neutral mentions aren't taken for attacks.
+The classifier is fitted on a bounded sample of labelled texts. For each sample text that names a group, a counterfactual
+text is made: every term for a group is swapped for the next of its kind, and the swapped text's features are taken anew. The
+loss has, beside the log loss, the squared change of the score's logit between a text and its counterfactual, so that the score
+doesn't depend on which group is named, and neutral mentions aren't taken for attacks.
 """
 
 from __future__ import annotations
@@ -30,35 +30,39 @@ STEMS = (4, 5, 6)
 SAMPLE = 6000
 #: words that the classifier weighs, at most
 FEATURES = 4096
-# Terms for groups of persons; terms of one line can stand for each other.
+# Choices of this operator: terms for groups of persons; a term is swapped for the next of its line.
 IDENTITY = [
     ["man", "woman"], ["men", "women"], ["boy", "girl"], ["male", "female"], ["he", "she"], ["him", "her"],
     ["gay", "lesbian", "straight", "bisexual", "transgender", "queer"], ["black", "white", "asian", "latino", "indigenous"],
     ["christian", "muslim", "jewish", "hindu", "buddhist", "atheist"], ["christians", "muslims", "jews", "hindus", "buddhists", "atheists"],
     ["american", "mexican", "chinese", "indian", "german", "french", "polish", "turkish", "arab"], ["immigrant", "citizen", "refugee"],
     ["old", "young"], ["disabled", "deaf", "blind"],
+    ["mann", "frau"], ["männer", "frauen"], ["schwul", "lesbisch"], ["christen", "muslime", "juden"], ["deutsche", "türken", "polen", "araber"], ["ausländer", "flüchtlinge"],
+    ["homme", "femme"], ["hommes", "femmes"], ["chrétiens", "musulmans", "juifs"], ["français", "arabes", "chinois"], ["immigrés", "réfugiés"],
+    ["hombre", "mujer"], ["hombres", "mujeres"], ["cristianos", "musulmanes", "judíos"], ["españoles", "gitanos", "moros"], ["inmigrantes", "refugiados"],
 ]
+SWAP = {w: line[(i + 1) % len(line)] for line in IDENTITY for i, w in enumerate(line)}
 
 
 def key(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-GROUPS = [[key(w) for w in line] for line in IDENTITY]
-SWAP = {k: line[(i + 1) % len(line)] for line in GROUPS for i, k in enumerate(line)}
-
-
-def word_keys(text: str) -> set[int]:
-    """Keys of the distinct words, and of their first STEMS letters where a word is longer."""
-    words = set(WORDS.findall(text.lower()))
+def _keys(words: set[str]) -> set[int]:
     keys = set(map(key, words))
     for n in STEMS:
         keys.update(map(key, {"^" + w[:n] for w in words if len(w) > n}))
     return keys
 
 
-#: keys of the beginnings of group terms; they are never weighed, so that swapping a term swaps all of its features
-GROUP_STEMS = [key("^" + w[:n]) for line in IDENTITY for w in line for n in STEMS if len(w) > n]
+def word_keys(text: str) -> set[int]:
+    """Keys of the distinct words, and of their first STEMS letters where a word is longer."""
+    return _keys(set(WORDS.findall(text.lower())))
+
+
+def counterfactual(text: str) -> str:
+    """The text, in lower case, with every term for a group swapped."""
+    return WORDS.sub(lambda m: SWAP.get(m[0], m[0]), text.lower())
 
 
 def held_out(id_col: Column) -> Column:
@@ -78,49 +82,61 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
 
 
-def fit(texts: list[set[int] | np.ndarray], labels: list[int], fairness: float = 1.0, ridge: float = 1e-4, steps: int = 600, rate: float = 0.5, features: int = FEATURES) -> Model:
-    """Fit on the word keys of texts, both labels with the same weight in all. fairness weighs the
-    squared changes of the score's logit, ridge the squared weights.
+def _array(keys: set[int] | np.ndarray) -> np.ndarray:
+    return np.sort(np.fromiter(keys, np.uint32, len(keys)))
 
-    Words are chosen by the chi-square statistic of their presence, those seen in under three texts left out; group
-    terms always take part, so that the penalty can act on them. No texts, or texts of one label only, give a model
-    that scores all texts with the label's rate.
+
+def _flat(texts: list[set[int] | np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the texts, and their keys."""
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), np.fromiter(map(len, texts), np.int64, len(texts)))
+    keys = [_array(t) if isinstance(t, set) else t for t in texts]
+    return rows, np.concatenate(keys) if keys else np.empty(0, np.uint32)
+
+
+def _places(rows: np.ndarray, keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same, only of keys that are chosen (ascending), as places in them."""
+    at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1).astype(np.int32)
+    known = chosen[at] == keys
+    return rows[known], at[known]
+
+
+def fit(texts: list[set[int] | np.ndarray], labels: list[int], swapped: list[set[int] | np.ndarray] | None = None, fairness: float = 1.0, ridge: float = 1e-4, steps: int = 600, rate: float = 0.5, features: int = FEATURES) -> Model:
+    """Fit on the word keys of texts, both labels with the same weight in all. swapped: the word keys of each text's
+    counterfactual, equal to the text's where it names no group. fairness weighs the mean squared change of the score's logit over
+    the texts that name one, ridge the squared weights.
+
+    Words are chosen by the chi-square statistic of their presence, those seen in under three texts left out; what only one of a
+    text and its counterfactual has always takes part, so that the penalty can act on it. The bias and the scale of the scores
+    come from a last fit of the margins to the labels, smoothed by the counts of both, since labels that words tell apart would
+    let the weights grow without an end. No texts, or texts of one label only, give a model that scores all texts with the
+    label's rate.
     """
-    n = len(texts)
-    y = np.array(labels, float)
+    n, y = len(texts), np.array(labels, float)
     base = float(np.clip((y.sum() + 0.5) / (n + 1), 1e-4, 1 - 1e-4))
+    constant = Model({}, float(np.log(base / (1 - base))))
     if not n or y.min() == y.max():
-        return Model({}, float(np.log(base / (1 - base))))
-    groups = np.array([k for line in GROUPS for k in line], np.uint32)
-    keys = np.concatenate([np.fromiter(t, np.uint32, len(t)) if isinstance(t, set) else t for t in texts])
-    words, counts = np.unique(keys, return_counts=True)
-    words = words[(counts >= 3) | np.isin(words, groups)]
-    if not len(words):
-        return Model({}, float(np.log(base / (1 - base))))
-    rows = np.repeat(np.arange(n, dtype=np.int32), np.fromiter(map(len, texts), np.int64, n))
-    columns = np.minimum(np.searchsorted(words, keys), len(words) - 1).astype(np.int32)
-    known = words[columns] == keys
-    rows, columns = rows[known], columns[known]
-    del keys, known
-    seen = np.bincount(columns, minlength=len(words)).astype(float)
-    hits = np.bincount(columns, weights=y[rows], minlength=len(words))
+        return constant
+    rows, keys = _flat(texts)
+    words, seen = np.unique(keys, return_counts=True)
+    all_rows, all_places = _places(rows, keys, words)
+    hits = np.bincount(all_places, weights=y[all_rows], minlength=len(words))
     expected = seen * y.mean()
     chi = (hits - expected) ** 2 / np.maximum(expected * (1 - y.mean()) * (1 - seen / n + 1e-9), 1e-9)
-    chi[(seen < 3) | (hits <= expected) | np.isin(words, np.array(GROUP_STEMS, np.uint32))] = 0
-    named = np.isin(words, groups)
+    chi[(seen < 3) | (hits <= expected)] = 0
     order = np.lexsort((words, -chi))[:features]
-    chosen = np.unique(np.concatenate([order[chi[order] > 10.83], np.flatnonzero(named)]))  # 10.83: chance below 0.001
+    chosen = words[order[chi[order] > 10.83]]  # 10.83: chance below 0.001
+    # features that only one of a text and its counterfactual has
+    changes = [(np.setdiff1d(t, s), np.setdiff1d(s, t)) for t, s in zip(map(_array, texts), map(_array, swapped or texts), strict=True) if not np.array_equal(t, s)]
+    named = np.unique(np.concatenate([x for pair in changes for x in pair])) if changes else np.empty(0, np.uint32)
+    chosen = np.unique(np.concatenate((chosen, named[np.isin(named, words[seen >= 3])])))
     if not len(chosen):
-        return Model({}, float(np.log(base / (1 - base))))
-    place = np.full(len(words), -1)
-    place[chosen] = np.arange(len(chosen))
-    mask = place[columns] >= 0
-    r, c = rows[mask], place[columns[mask]]
-    lookup = {int(words[j]): i for i, j in enumerate(chosen)}
-    # each mention of a group term, and the place of the term that its counterfactual has instead (-1: none seen)
-    other = np.array([lookup.get(SWAP.get(int(words[j]), -1), -1) if int(words[j]) in SWAP else -2 for j in chosen])
-    mention = other[c] > -2
-    pr, pa, pb = r[mention], c[mention], other[c[mention]]
+        return constant
+    r, c = _places(rows, keys, chosen)
+    parts = [(i, sign, only) for i, pair in enumerate(changes) for sign, only in zip((1.0, -1.0), pair, strict=True)]
+    pr, pk = _flat([only for _, _, only in parts])
+    pr, pc = _places(pr, pk, chosen)
+    sign = np.array([p[1] for p in parts])[pr] if parts else np.empty(0)
+    pr = np.array([p[0] for p in parts], np.int32)[pr] if parts else pr
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (n - y.sum()))
     w, b = np.zeros(len(chosen)), 0.0
     mw, vw, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -130,49 +146,77 @@ def fit(texts: list[set[int] | np.ndarray], labels: list[int], fairness: float =
         g = (p - y) * weight
         gw, gb = np.bincount(c, weights=g[r], minlength=len(w)) + ridge * w, float(g.sum())
         if len(pr):
-            # the counterfactual has the other term instead of the one; all other words, and so the rest of the score, are shared
-            change = w[pa] - np.where(pb >= 0, w[pb], 0.0)
-            d = 2 * fairness * change / len(pr)
-            gw += np.bincount(pa, weights=d, minlength=len(w)) - np.bincount(pb[pb >= 0], weights=d[pb >= 0], minlength=len(w))
+            # the logits of a text and its counterfactual differ by what only one of them has
+            change = np.bincount(pr, weights=sign * w[pc], minlength=len(changes))
+            gw += np.bincount(pc, weights=2 * fairness / len(changes) * sign * change[pr], minlength=len(w))
         mw, vw = 0.9 * mw + 0.1 * gw, 0.999 * vw + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         k1, k2 = 1 - 0.9**step, 1 - 0.999**step
         w = w - rate * (mw / k1) / (np.sqrt(vw / k2) + 1e-8) / (1 + step / 50)
         b = b - rate * (mb / k1) / (np.sqrt(vb / k2) + 1e-8) / (1 + step / 50)
-    # if there is a gap between the labels' margins, but for the odd label, a score of 0.5 goes to its first quarter:
-    # texts without features are alike, while attacks in words that the sample has seldom get less than those in it
-    margin = np.bincount(r, weights=w[c], minlength=n)
-    low, high = float(np.quantile(margin[y == 0], 0.999)), float(np.quantile(margin[y > 0], 0.02))
-    if low < high:
-        b = -(3 * low + high) / 4
-    return Model({int(words[j]): float(x) for j, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, float(b))
+    scale, shift = _calibrated(np.bincount(r, weights=w[c], minlength=n) + b, y)
+    return Model({int(k): float(x * scale) for k, x in zip(chosen, w, strict=True) if abs(x) > 1e-6}, float(b * scale + shift))
+
+
+def _calibrated(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Scale and shift of a logistic fit of margins to labels by Newton's method, labels smoothed by their counts, both with the
+    same weight in all."""
+    up, down = y.sum(), len(y) - y.sum()
+    target = np.where(y > 0, (up + 1) / (up + 2), 1 / (down + 2))
+    weight = np.where(y > 0, 0.5 / up, 0.5 / down)
+    x = np.stack((margin, np.ones(len(margin))), axis=1)
+    at = np.array([1.0, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -40, 40)))
+        slope = x.T @ ((p - target) * weight) + 1e-6 * at
+        curve = (x * (p * (1 - p) * weight)[:, None]).T @ x + 1e-6 * np.eye(2)
+        move = np.linalg.solve(curve, slope)
+        move *= min(1.0, 2.0 / max(1e-12, float(np.abs(move).max())))
+        at = at - move
+        if np.abs(move).max() < 1e-9:
+            break
+    return (float(at[0]), float(at[1])) if at[0] > 0 else (1.0, 0.0)
+
+
+def mention_gap(model: Model, sentences: list[str]) -> float:
+    """The share of neutral sentences with a score of 0.5 or more that have less without their terms for groups."""
+    named = [(s, WORDS.sub(lambda m: "" if m[0] in SWAP else m[0], s.lower())) for s in sentences]
+    blamed = [model.score(word_keys(a)) >= 0.5 > model.score(word_keys(b)) for a, b in named]
+    return sum(blamed) / max(1, len(blamed))
 
 
 def _keyed(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, and the word keys of each text and of its counterfactual."""
+    packed = lambda t: np.array(sorted(word_keys(t)), "<u4").tobytes()
+
     def make() -> Callable[[bytes | None], tuple]:
-        return lambda raw: (np.array(sorted(word_keys((raw or b"").decode())), "<u4").tobytes(),)
+        return lambda raw: (packed((raw or b"").decode()), packed(counterfactual((raw or b"").decode())))
 
-    return per_text(docs, keys, text, [("word_keys", T.BinaryType())], make)
+    return per_text(docs, keys, text, [("word_keys", T.BinaryType()), ("swapped", T.BinaryType())], make)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, **fitting: float) -> Model:
-    """Fit on at most `sample` labelled rows that aren't held out, those with the smallest hash of their id.
+    """Fit on at most `sample` labelled texts that aren't held out: those of the ids with the smallest hashes.
 
-    Rows without id or label are left out. Texts that occur repeatedly count once (with their largest label), so a
-    copied text weighs no more than another.
+    Rows without id or label are left out. Of ids with several texts one counts (the least by hash), and texts that occur
+    repeatedly count once (with their largest label), so a copied text weighs no more than another and at most `sample` rows of
+    word keys reach the driver. Other columns are ignored, whatever their names. Without usable rows all texts score 0.5.
     """
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     usable = usable.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
     # at most `sample` ids are sent to all executors
-    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.md5("text"))
-    rows = _keyed(found, ["doc_id", "y", "h"], "text").toPandas().sort_values(["h", "y", "doc_id"]).drop_duplicates("h", keep="last").sort_values("doc_id")
-    return fit([np.frombuffer(k, "<u4") for k in rows["word_keys"]], [int(y > 0) for y in rows["y"]], **fitting)
+    found = texts.join(F.broadcast(chosen), "doc_id").withColumn("h", F.md5(F.coalesce("text", F.lit(""))))
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct("h", "text")).alias("t")).groupBy("t.h").agg(F.max(F.struct("y", "doc_id", "t.text")).alias("r"))
+    rows = _keyed(one.select("r.*"), ["doc_id", "y"], "text").toPandas().sort_values("doc_id")
+    read = lambda name: [np.frombuffer(k, "<u4") for k in rows[name]]
+    return fit(read("word_keys"), [int(y > 0) for y in rows["y"]], read("swapped"), **fitting)
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
-    """keys and score (0 to 1). A null or empty text gets the score of a text without words."""
+    """keys and score (0 to 1). A null or empty text gets the score of a text without words. Repeated rows stay and score alike;
+    other columns are ignored; empty input gives an empty result."""
 
     def make() -> Callable[[bytes | None], tuple]:
         return lambda raw: (model.score(word_keys((raw or b"").decode())),)
