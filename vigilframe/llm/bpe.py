@@ -221,7 +221,8 @@ def encode(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> D
 
 
 def encode_digests(docs: DataFrame, path: str, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, n_tokens, ids_sha256 and decoded_sha256 of what encode() gives, without moving ids and texts."""
+    """keys, n_tokens, ids_sha256 and decoded_sha256 of what encode() gives, without moving ids and texts. Null and empty texts have
+    0 tokens; repeated rows stay; other columns are ignored; empty input gives an empty result."""
 
     def make() -> Callable[[bytes | None], tuple]:
         v = vocabulary(path)

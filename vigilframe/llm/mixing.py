@@ -78,7 +78,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42, max_r
 
 
 def emit(docs: DataFrame, seed: int = 42, max_rate: int = 3, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mixed corpus: the rows of docs, each as often as mix() says, with the columns of docs only.
+    """The mixed corpus: the rows of docs, each as often as mix() says, with the columns of docs only. The null source is a source;
+    repeated rows are drawn alike; sources without words are left out; empty input gives an empty result.
 
     Copies are made where the row is, by a rate that is joined by source; texts aren't shuffled unless the table of
     sources outgrows Spark's size limit for broadcasts.

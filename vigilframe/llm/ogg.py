@@ -12,6 +12,7 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import zip_longest
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -80,8 +81,9 @@ def write(payload: bytes, rate: int = RATE) -> bytes:
     samples = [(payload[i : i + PACKET], min(i + PACKET, len(payload))) for i in range(0, len(payload), PACKET)]
     sound = write_stream([(b"PCM-U8  " + struct.pack("<II", rate, 1), 0), *samples], serial)
     about = write_stream([(b"SIZES   " + struct.pack("<I", PACKET), 0), (struct.pack("<QI", len(payload), zlib.crc32(payload)), 1)], serial ^ 0xFFFFFFFF)
-    # first pages of all streams come first, the others may follow in any order
-    return b"".join([sound[0], about[0], *about[1:], *sound[1:]])
+    # first pages of all streams come first, the others in turns
+    rest = [page for pair in zip_longest(sound[1:], about[1:]) for page in pair if page]
+    return b"".join([sound[0], about[0], *rest])
 
 
 @dataclass
@@ -179,7 +181,8 @@ def store(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def round_trip(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Store each text, read the stored bytes back, and describe both. The media stay in the task."""
+    """Store each text, read the stored bytes back, and describe both. The media stay in the task. A null text is stored as an empty
+    one; repeated rows stay; other columns are ignored, whatever their names; empty input gives an empty result."""
 
     def make() -> Callable[[bytes | None], tuple]:
         def one(raw: bytes | None) -> tuple:
