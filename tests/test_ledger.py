@@ -67,3 +67,27 @@ def test_versioned_store(spark, tmp_path):
     now = ledger.put_settings(store.read("settings", schema), spark.createDataFrame([("a", "2"), ("b", "3")], schema))
     assert store.commit(settings=now) == 2
     assert {tuple(r) for r in store.read("settings", schema).collect()} == {("a", "2"), ("b", "3")} and store.pointer()["sequence"] == 2
+
+
+def test_pointer_of_two_writers_and_of_a_crash(spark, tmp_path):
+    schema = "key string, value string"
+    a, b = (ledger.VersionedStore(spark, f"file://{tmp_path}/ledger") for _ in range(2))
+    a.commit(settings=spark.createDataFrame([("a", "1")], schema))
+    seen = b.pointer()
+    a.commit(settings=spark.createDataFrame([("a", "2")], schema))
+    b.pointer = lambda: seen  # b has read the sequence before a committed
+    with pytest.raises(FileExistsError, match="sequence 2"):
+        b.commit(settings=spark.createDataFrame([("a", "3")], schema))
+    assert [tuple(r) for r in a.read("settings", schema).collect()] == [("a", "2")]
+    # a writer that ended before its pointer was whole, and one that ended before it had any
+    (tmp_path / "ledger/pointers/sequence-00000000000000000003").write_text('{"sequ')
+    spark.createDataFrame([("a", "9")], schema).write.parquet(f"file://{tmp_path}/ledger/settings/version=3-lost")
+    assert a.pointer()["sequence"] == 2 and [tuple(r) for r in a.read("settings", schema).collect()] == [("a", "2")]
+
+
+def test_pages_of_customers(spark):
+    rows = spark.createDataFrame([(f"c{i}", f"t{i % 3}") for i in range(50)], "customer_id string, created_at string")
+    first, at = ledger.customers_page(rows, -4, 24)
+    last, end = ledger.customers_page(rows, 99, 24)
+    assert (at, end, first.count(), last.count()) == (1, 3, 24, 2) and first.first()["created_at"] == "t2"
+    assert ledger.customers_page(rows.limit(0), 5)[1] == 1

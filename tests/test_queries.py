@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from vigilframe import queries
+from vigilframe import queries, queries_more  # noqa: F401  registers its queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 

@@ -76,3 +76,20 @@ def test_screen_finds_an_alias_and_keeps_list_floors(spark):
     assert [(r["qid"], r["id"], r["tier"]) for r in got] == [(1, 1, "STRONG")]
     assert got[0]["summary"] == "Match due to: strong vector similarity, alias match, DOB match"
     assert screen.screen(queries, entities, vectors, enabled=[]).count() == 0
+
+
+def test_search_by_blocks_equals_search_at_once(spark):
+    import numpy as np
+
+    from vigilframe.operators import vector_search
+
+    rng = np.random.default_rng(5)
+    unit = lambda v: (v / np.linalg.norm(v)).tolist()
+    rows = spark.createDataFrame([(i, unit(rng.normal(size=8)), f"l{i % 2}") for i in range(300)] + [(999, None, "l0")], "id long, vector array<double>, list_id string")
+    asked = rows.where("id % 7 = 0").select(F.col("id").alias("qid"), "vector").unionByName(spark.createDataFrame([(-1, None)], "qid long, vector array<double>"))
+    for source in (rows, rows.drop("list_id")):
+        at_once, dealt = ({tuple(r) for r in vector_search.topk_exact(asked, source, 5, most=n).collect()} for n in (1000, 10))
+        assert at_once == dealt and len(at_once) == 43 * 5 * (2 if source is rows else 1)
+    assert vector_search.topk_exact(asked.limit(0), rows, 5).count() == 0
+    with pytest.raises(Exception, match="the vector of 5 has 2 numbers, not 8"):
+        vector_search.topk_exact(asked, spark.createDataFrame([(5, [1.0, 0.0])], "id long, vector array<double>"), 5).collect()

@@ -36,9 +36,15 @@ def sha256_tag(content: Column) -> Column:
 
 
 def fnv1a(text: Column) -> Column:
-    """FNV-1a over the low byte of each letter's code, as 8 hex digits; letters beyond the BMP count as one."""
-    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long").bitwiseAND(255)) * 16777619).bitwiseAND(0xFFFFFFFF)
-    value = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0x811C9DC5).cast("long"), step)
+    """FNV-1a over the low byte of each UTF-16 unit, as 8 hex digits; a letter beyond the BMP has two units."""
+    step = lambda h, x: (h.bitwiseXOR(x.bitwiseAND(255)) * 16777619).bitwiseAND(0xFFFFFFFF)
+
+    def letter(h: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        beyond = code - 0x10000
+        return F.when(code < 0x10000, step(h, code)).otherwise(step(step(h, F.shiftright(beyond, 10)), beyond))
+
+    value = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0x811C9DC5).cast("long"), letter)
     return F.lower(F.lpad(F.hex(value), 8, "0"))
 
 
@@ -46,11 +52,16 @@ def norm_sorted(values: Column) -> Column:
     return F.array_sort(F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.lower(F.trim(v))), lambda v: v.isNotNull()))
 
 
-def material_fingerprint(name: Column, dob: Column, country: Column, entity_name: Column, aliases: Column, dobs: Column, countries: Column) -> Column:
-    """FNV-1a of a JSON with fixed keys over what makes a match materially the same."""
+def material_fingerprint(name_canonical: Column, country: Column, entity_canonical: Column, aliases: Column, dobs: Column, countries: Column) -> Column:
+    """FNV-1a of a JSON of what makes a match materially the same: the customer's canonical name and country, and the entity's
+    canonical name, aliases, dates of birth and countries, in any order and case. Other fields of a customer don't count.
+
+    Fixed values: the keys of that JSON and their order, since stored fingerprints are compared.
+    """
     low = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit(""))
-    body = F.to_json(F.struct(low(name).alias("name"), low(dob).alias("dob"), low(country).alias("country"), low(entity_name).alias("entity"), norm_sorted(aliases).alias("aliases"), norm_sorted(dobs).alias("dobs"), norm_sorted(countries).alias("countries")))
-    return fnv1a(body)
+    profile = F.struct(low(name_canonical).alias("name_canonical"), low(country).alias("country"))
+    entity = F.struct(low(entity_canonical).alias("name_canonical"), norm_sorted(aliases).alias("aliases"), norm_sorted(dobs).alias("dob"), norm_sorted(countries).alias("countries"))
+    return fnv1a(F.to_json(F.struct(profile.alias("profile"), entity.alias("entity"))))
 
 
 @pandas_udf(T.BinaryType())

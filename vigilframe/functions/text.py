@@ -53,42 +53,50 @@ def display_name(canonical: Column) -> Column:
     return F.initcap(canonical)
 
 
+#: words of a date of birth that say how sure it is
+HEDGES = ["circa", "approx", "approximately", "abt", "about", "c"]
+
+
 def normalize_dob(raw: Column) -> Column:
     """The most precise of YYYY-MM-DD, YYYY-MM and YYYY that a date of birth tells, or null.
 
-    ISO dates first, then the first year of a range, a named month, day/month/year, and a year alone.
+    The text's words without hedges are told apart by kind: a year of four digits (y), a number of up to two (n), the name of a
+    month (m). The kinds in order decide what it may be, and how it is written whether it is: ISO dates (y, yn, ynn with
+    hyphens), two years as a range, of which the first counts, [n]my with spaces, and nny as day, month, year with slashes or hyphens.
     """
-    trimmed = F.trim(raw)
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace(trimmed, r"(?i)\b(?:circa|approx(?:imately)?|abt|about|c)\b\.?", ""), r"\s+", " "))
-    low = F.lower(cleaned)
-
-    def part(source: Column, pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(source, pattern, group), F.lit(""))
-
-    def prefix(year: Column, month: Column, day: Column) -> Column:
-        y, m, d = year.cast("int"), month.cast("int"), day.cast("int")
-        fits = y.between(MIN_YEAR, MAX_YEAR) & F.coalesce(m.between(1, 12), F.lit(True)) & F.coalesce(m.isNull() | d.between(1, 31), F.lit(True))
-        text = F.when(m.isNull(), F.lpad(y.cast("string"), 4, "0")).when(d.isNull(), F.format_string("%04d-%02d", y, m)).otherwise(F.format_string("%04d-%02d-%02d", y, m, d))
-        return F.when(fits, text)
-
-    none = F.lit(None).cast("string")
-    iso = r"^(\d{4})(?:-(\d{2})(?:-(\d{2}))?)?$"
-    span = r"^(\d{4})\s*(?:to|-|–|/)\s*(\d{4})$"
-    named = r"^(?:(\d{1,2})\s+)?([a-z]+)\.?\s+(\d{4})$"
-    dmy = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$"
+    low = F.lower(F.translate(F.trim(raw), ".", " "))
+    written = F.array_join(F.filter(F.split(low, r"\s+"), lambda w: (w != "") & ~w.isin(HEDGES)), " ")
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
-    month = F.try_element_at(months, part(low, named, 2)).cast("string")
-    from_iso = prefix(part(cleaned, iso, 1), part(cleaned, iso, 2), part(cleaned, iso, 3))
-    from_span = prefix(part(cleaned, span, 1), none, none)
-    from_named = prefix(part(low, named, 3), month, part(low, named, 1))
-    from_dmy = prefix(part(cleaned, dmy, 3), part(cleaned, dmy, 2), part(cleaned, dmy, 1))
-    empty = trimmed.isNull() | (trimmed == "-0-") | (cleaned == "")
+    words = F.filter(F.split(F.translate(written, "-–/", "   "), " "), lambda w: (w != "") & (w != "to"))
+    number = lambda w: w.try_cast("int").isNotNull() & (F.translate(w, "0123456789", "") == "")
+    kind = lambda w: F.when(number(w) & (F.length(w) == 4), "y").when(number(w) & (F.length(w) <= 2), "n").when(F.map_contains_key(months, w), "m").otherwise("?")
+    shape = F.array_join(F.transform(words, kind), "")
+    word = lambda i: F.try_element_at(words, F.lit(i))
+    year, other = (lambda i: word(i).try_cast("int")), (lambda i: word(i).try_cast("int"))
+    as_written = lambda sep, text=written: text == F.array_join(words, sep)
+    day_first = as_written("/", F.translate(written, "-", "/"))
+    close = F.translate(written, " ", "")
+    in_range = F.lit(False)
+    for sep in ("to", "-", "–", "/"):
+        in_range = in_range | (close == F.array_join(words, sep))
+    two_digits = F.forall(F.slice(words, 2, 2), lambda w: F.length(w) == 2)
+
+    def date(y: Column, m: Column | None = None, d: Column | None = None) -> Column:
+        fits, text = y.between(MIN_YEAR, MAX_YEAR), [F.lpad(y.cast("string"), 4, "0")]
+        for part, most in ((m, 12), (d, 31)):
+            if part is not None:
+                fits, text = fits & part.between(1, most), [*text, F.lpad(part.cast("string"), 2, "0")]
+        return F.when(fits, F.concat_ws("-", *text))
+
+    month = lambda i: F.try_element_at(months, word(i))
     return (
-        F.when(empty, none)
-        .when(cleaned.rlike(iso), from_iso)
-        .when(from_span.isNotNull(), from_span)
-        .when(low.rlike(named) & month.isNotNull(), from_named)
-        .when(cleaned.rlike(dmy), from_dmy)
+        F.when(shape == "y", F.when(as_written(" "), date(year(1))))
+        .when((shape == "yy") & in_range, date(year(1)))
+        .when((shape == "yn") & as_written("-") & two_digits, date(year(1), other(2)))
+        .when((shape == "ynn") & as_written("-") & two_digits, date(year(1), other(2), other(3)))
+        .when((shape == "my") & as_written(" "), date(year(2), month(1)))
+        .when((shape == "nmy") & as_written(" "), date(year(3), month(2), other(1)))
+        .when((shape == "nny") & day_first, date(year(3), other(2), other(1)))
     )
 
 
@@ -134,16 +142,52 @@ def canonical_header(header: str) -> str:
 
 
 def decode_entities(text: Column) -> Column:
-    """The five predefined XML entities; the ampersand last."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+    """The predefined XML entities and decimal references; the ampersand last."""
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    pieces = F.split(text, "&#")
+    tail = lambda p: F.substring_index(p, ";", 1)
+    is_number = lambda p: (F.instr(p, ";") > 1) & (F.translate(tail(p), "0123456789", "") == "")
+    decoded = lambda p: F.concat(_letter(tail(p).try_cast("int")), F.substring(p, F.length(tail(p)) + 2, F.length(p)))
+    rest = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.when(is_number(p), decoded(p)).otherwise(F.concat(F.lit("&#"), p)))
+    return F.replace(F.concat(F.element_at(pieces, 1), F.array_join(rest, "")), F.lit("&amp;"), F.lit("&"))
+
+
+def _letter(code: Column) -> Column:
+    """The letter of a code point, by its bytes in UTF-8."""
+    byte = lambda n: F.lpad(F.hex(n), 2, "0")
+    low = lambda shift: byte(F.shiftright(code, shift).bitwiseAND(63).bitwiseOR(128))
+    raw = (
+        F.when(code < 0x80, byte(code))
+        .when(code < 0x800, F.concat(byte(F.shiftright(code, 6).bitwiseOR(0xC0)), low(0)))
+        .when(code < 0x10000, F.concat(byte(F.shiftright(code, 12).bitwiseOR(0xE0)), low(6), low(0)))
+        .otherwise(F.concat(byte(F.shiftright(code, 18).bitwiseOR(0xF0)), low(12), low(6), low(0)))
+    )
+    return F.decode(F.unhex(raw), "UTF-8")
+
+
+def _midnight(day: Column) -> Column:
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00.000Z"))
 
 
 def ofsi_updated(line: Column) -> Column:
     """The instant of a 'Last Updated,dd/mm/yyyy' line, or null."""
-    p = r"Last Updated,\s*(\d{2})/(\d{2})/(\d{4})"
-    return F.when(line.rlike(p), F.concat(F.regexp_extract(line, p, 3), F.lit("-"), F.regexp_extract(line, p, 2), F.lit("-"), F.regexp_extract(line, p, 1), F.lit("T00:00:00.000Z")))
+    cells = F.transform(F.split(line, ","), lambda c: F.trim(c))
+    at = F.array_position(cells, "Last Updated")
+    return F.when(at > 0, _midnight(F.try_to_date(F.try_element_at(cells, (at + 1).cast("int")), "dd/MM/yyyy")))
+
+
+def xml_updated(head: Column, attribute: str) -> Column:
+    """The instant that an attribute of a feed's first element tells (generationDate, dateGenerated), as ISO in UTC, or null."""
+    value = F.substring_index(F.try_element_at(F.split(head, f'{attribute}="'), F.lit(2)), '"', 1)
+    return F.date_format(F.try_to_timestamp(value), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def http_updated(last_modified: Column) -> Column:
+    """The instant of an HTTP date (Sun, 06 Nov 1994 08:49:37 GMT), as ISO in UTC, or null."""
+    words = F.split(F.trim(last_modified), " ")
+    spelled = F.concat_ws(" ", F.slice(words, 2, 4))
+    return F.when((F.size(words) == 6) & (F.element_at(words, -1) == "GMT"), F.date_format(F.try_to_timestamp(spelled, F.lit("dd MMM yyyy HH:mm:ss")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
 
 
 def strict_instant(value: Column) -> Column:

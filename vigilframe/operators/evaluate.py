@@ -204,6 +204,44 @@ def cross_pairs(names: DataFrame, n: int, owners: DataFrame, count: int, seed: i
     return kept.orderBy("k").limit(count).select(F.lit(0).alias("label"), "a", "b")
 
 
+def nearest_rank(rows: DataFrame, by: list[str], value: str, ranks: dict[str, float]) -> DataFrame:
+    """Percentiles by nearest rank: the smallest value that at least the share of the rows doesn't exceed."""
+    return rows.groupBy(*by).agg(*[F.expr(f"percentile_disc({p}) within group (order by `{value}`)").cast(rows.schema[value].dataType).alias(name) for name, p in ranks.items()])
+
+
+def vocabulary(names: DataFrame, column: str = "canonical") -> DataFrame:
+    """key: the distinct tokens of all names."""
+    return names.select(F.explode(F.split(column, " ")).alias("key")).where("key <> ''").distinct()
+
+
+def in_segments(queries: DataFrame, segments: list[str]) -> DataFrame:
+    return queries.where(F.col("segment").isin(segments))
+
+
+def absent(ranks: DataFrame) -> DataFrame:
+    """Queries whose expected entity never came back."""
+    return ranks.where("rank is null")
+
+
+def study_report(pairs: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """rule, and the confusion metrics of each rule over the pairs (label)."""
+    spread = pairs.select((F.col("label") == 1).alias("truth"), F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("alerted")) for n, c in rules.items()])).alias("r"))
+    return binary_report(spread.select("truth", "r.*"), ["rule"])
+
+
+def separation(rows: DataFrame, by: list[str], truth: str = "truth", score: str = "score") -> DataFrame:
+    """The lowest score of a true match, the highest of another, and whether a threshold tells all of them apart."""
+    t = F.col(truth).cast("boolean")
+    got = rows.groupBy(*by).agg(F.min(F.when(t, F.col(score))).alias("lowest_true"), F.max(F.when(~t, F.col(score))).alias("highest_false"))
+    return got.withColumn("separable", F.coalesce(F.col("lowest_true") > F.col("highest_false"), F.lit(False)))
+
+
+def new_saturation(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+    """Floors (kind, bound) that can't fail any more and could before; a floor that is new counts."""
+    dull = F.when(F.col("kind") == "min", F.col("bound") <= 0).otherwise(F.col("bound") >= 1)
+    return now.where(dull).join(before.where(dull).select(*keys), keys, "left_anti")
+
+
 def slack(n: int, tolerance: float = 0.02) -> float:
     """How far a rate may fall: a bound that tightens with the number of rows."""
     return round(min(tolerance, 40 / n), 4) if n else tolerance

@@ -6,6 +6,7 @@ Each function takes the state's tables and returns new ones; VersionedStore keep
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,8 +145,23 @@ def put_settings(settings: DataFrame, new: DataFrame) -> DataFrame:
     return settings.join(new.select("key"), "key", "left_anti").unionByName(new.select(settings.columns))
 
 
+def customers_page(customers: DataFrame, page: int, size: int = 24) -> tuple[DataFrame, int]:
+    """One page of the customers, newest first (ties by id, descending), and its number: pages count from 1, and a number outside
+    of them is the nearest one."""
+    pages = max(1, -(-customers.count() // size))
+    bounded = min(max(page, 1), pages)
+    return customers.orderBy(F.desc("created_at"), F.desc("customer_id")).offset((bounded - 1) * size).limit(size), bounded
+
+
+def pending_count(matches: DataFrame) -> DataFrame:
+    """pending: matches that wait for a decision, or whose facts have changed since."""
+    return matches.agg(F.count_if((F.col("resolution") == "PENDING") | (F.col("review_state") == "CHANGED")).alias("pending"))
+
+
 class VersionedStore:
-    """Tables as Parquet versions in a folder; a pointer with a growing sequence names the current ones."""
+    """Tables as Parquet versions in a folder. A version is made current by a pointer file of its own, whose name has its
+    sequence; the highest one counts. A pointer is created once and never changed, so a reader sees the version before or after,
+    and of two writers of one sequence the second fails with FileExistsError. What a crash leaves behind has no pointer."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -154,25 +170,37 @@ class VersionedStore:
         self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
 
     def pointer(self) -> dict:
-        if not self._fs.exists(self._at("current")):
+        """sequence, and the version of each table; a pointer that isn't written to its end doesn't count."""
+        if not self._fs.exists(self._at("pointers")):
             return {"sequence": 0, "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.path}/current", wholetext=True).first()[0])
+        names = sorted((f.getPath().getName() for f in self._fs.listStatus(self._at("pointers"))), reverse=True)
+        for name in (n for n in names if n.startswith("sequence-")):
+            read = self.spark.read.text(f"{self.path}/pointers/{name}", wholetext=True).first()
+            try:
+                return json.loads(read[0])
+            except (TypeError, ValueError):
+                continue
+        return {"sequence": 0, "tables": {}}
 
     def read(self, name: str, schema: str) -> DataFrame:
         version = self.pointer()["tables"].get(name)
         return self.spark.createDataFrame([], schema) if version is None else self.spark.read.schema(schema).parquet(f"{self.path}/{name}/version={version}")
 
     def commit(self, **tables: DataFrame) -> int:
-        """Write all tables as a new version, then move the pointer: readers see all of it or nothing."""
+        """Write all tables as a new version in folders of their own, then create its pointer: readers see all of it or nothing."""
         now = self.pointer()
         sequence = now["sequence"] + 1
+        own = f"{sequence}-{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/version={sequence}")
-        moved = {"sequence": sequence, "tables": now["tables"] | dict.fromkeys(tables, sequence)}
-        out = self._fs.create(self._at("next"), True)
-        out.write(bytearray(json.dumps(moved).encode()))
+            df.write.parquet(f"{self.path}/{name}/version={own}")
+        made = {"sequence": sequence, "tables": now["tables"] | dict.fromkeys(tables, own)}
+        target = self._at(f"pointers/sequence-{sequence:020d}")
+        try:
+            out = self._fs.create(target, False)
+        except Exception as e:
+            if self._fs.exists(target):
+                raise FileExistsError(f"sequence {sequence} was committed by another writer") from e
+            raise
+        out.write(bytearray(json.dumps(made).encode()))
         out.close()
-        self._fs.delete(self._at("current"), False)
-        if not self._fs.rename(self._at("next"), self._at("current")):
-            raise OSError("the pointer can't be moved")
         return sequence

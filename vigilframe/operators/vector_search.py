@@ -11,55 +11,89 @@ from pyspark.sql import functions as F
 
 from vigilframe.functions.vectors import cosine_to_unit
 
-#: queries in one block; a block's matrix is what a task holds beside a batch of rows
-BLOCK = 512
+#: queries in one matrix product, queries that are sent to all tasks at most, and rows in a block beyond that
+BLOCK, MOST, ROWS = 512, 8192, 65_536
 
 
-def topk_exact(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6) -> DataFrame:
+def _matrix(ids: pa.Array, vectors: pa.Array, width: int | None = None) -> np.ndarray:
+    """The vectors as rows of a matrix; one of another width than the first fails by its id."""
+    lengths = np.diff(vectors.offsets.to_numpy())
+    width = int(lengths[0]) if width is None else width
+    if (lengths != width).any():
+        at = int(np.flatnonzero(lengths != width)[0])
+        raise ValueError(f"the vector of {ids[at].as_py()} has {lengths[at]} numbers, not {width}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), width)
+
+
+def _units(matrix: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
+
+
+def _best(qids: np.ndarray, units: np.ndarray, ids: pa.Array, vectors: pa.Array, lists: pa.Array | None, k: int, decimals: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of each query in one batch of rows, for each list if there are lists."""
+    own, x = ids.to_numpy(), _matrix(ids, vectors, units.shape[1])
+    names = np.zeros(len(own)) if lists is None else np.array(lists.to_pylist(), object)
+    for lo in range(0, len(qids), BLOCK):
+        block = qids[lo : lo + BLOCK]
+        cosines = np.round(units[lo : lo + BLOCK] @ x.T, decimals)
+        for name in dict.fromkeys(names.tolist()):
+            here = np.flatnonzero(names == name)
+            part, place = cosines[:, here], own[here]
+            order = np.lexsort((np.broadcast_to(place, part.shape), -part), axis=1)[:, :k]
+            columns = [pa.array(np.repeat(block, order.shape[1])), pa.array(place[order].ravel()), pa.array(np.take_along_axis(part, order, 1).ravel())]
+            if lists is None:
+                yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "cosine"])
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([name] * len(columns[0]), pa.string())], names=["qid", "id", "cosine", "list_id"])
+
+
+def topk_exact(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6, most: int = MOST) -> DataFrame:
     """qid, id, cosine, rank of the k best rows of each query, ties by id.
 
-    queries: qid, vector. rows: id, vector (unit), optionally list_id: then the k best of each list. Queries are taken
-    to the driver in blocks of BLOCK, and each block meets all rows by matrix products in Arrow batches; only the k
-    best of each batch leave a task, so what is shuffled is queries times batches times k rows, not pairs.
+    queries: qid, vector. rows: id, vector (unit), optionally list_id: then the k best of each list. Null vectors are left out on
+    both sides; a vector of another width fails by its id. Only the k best of each batch leave a task, so what is shuffled is
+    queries times batches times k rows, not pairs.
+
+    Up to `most` queries are sent to all tasks, and the rows are read once where they are. More are a table dealt to blocks, as
+    the rows are, and each pair of blocks meets in a task.
     """
     by_list = "list_id" in rows.columns
-    rows = rows.select("id", "vector", *(["list_id"] if by_list else []))
+    rows = rows.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector", *(["list_id"] if by_list else []))
+    asked = queries.where("vector is not null").select(F.col("qid").cast("long").alias("qid"), "vector")
     schema = f"qid long, id long, cosine double{', list_id string' if by_list else ''}"
-    out = None
-    asked = [(int(r["qid"]), r["vector"]) for r in queries.orderBy("qid").toLocalIterator()]
-    for lo in range(0, len(asked), BLOCK):
-        block = asked[lo : lo + BLOCK]
-        ids = np.array([q for q, _ in block])
-        matrix = np.array([v for _, v in block], np.float64)
-        size = np.linalg.norm(matrix, axis=1, keepdims=True)
-        matrix = np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
-
-        def best(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column(1)
-                x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                cosines = np.round(matrix @ x.T, decimals)
-                row_ids = batch.column(0).to_numpy()
-                lists = np.array(batch.column(2).to_pylist(), object) if by_list else np.zeros(batch.num_rows)
-                for name in dict.fromkeys(lists.tolist()):
-                    here = np.flatnonzero(lists == name)
-                    part, own = cosines[:, here], row_ids[here]
-                    order = np.lexsort((np.broadcast_to(own, part.shape), -part), axis=1)[:, :k]
-                    columns = [pa.array(np.repeat(ids, order.shape[1])), pa.array(own[order].ravel()), pa.array(np.take_along_axis(part, order, 1).ravel())]
-                    names = ["qid", "id", "cosine"]
-                    if by_list:
-                        columns.append(pa.array([name] * len(columns[0]), pa.string()))
-                        names.append("list_id")
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-        part = rows.mapInArrow(best, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], schema)
+    spark = rows.sparkSession
+    if asked.limit(most + 1).count() <= most:
+        table = asked.toArrow().combine_chunks()
+        if not table.num_rows:
+            found = spark.createDataFrame([], schema)
+        else:
+            held = [c.chunk(0) if c.num_chunks else c.combine_chunks() for c in table.columns]
+            sent = spark.sparkContext.broadcast((held[0].to_numpy(), _units(_matrix(*held))))
+
+            def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                qids, units = sent.value
+                for batch in batches:
+                    if batch.num_rows:
+                        yield from _best(qids, units, batch.column(0), batch.column(1), batch.column(2) if by_list else None, k, decimals)
+
+            found = rows.mapInArrow(each, schema)
+    else:
+        sides = [(asked, "qid", max(1, asked.count() // most + 1)), (rows, "id", max(1, rows.count() // ROWS + 1))]
+        (a, b), (na, nb) = ((df.withColumn(f"__{key}", F.pmod(F.xxhash64(key), F.lit(n))) for df, key, n in sides), (sides[0][2], sides[1][2]))
+        a = a.withColumn("__id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
+        b = b.withColumn("__qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(na - 1).cast("long"))))
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return pa.Table.from_batches([], pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64()), *([("list_id", pa.string())] if by_list else [])]))
+            whole = lambda t, c: t.column(c).combine_chunks()
+            units = _units(_matrix(whole(left, "qid"), whole(left, "vector")))
+            return pa.Table.from_batches(_best(whole(left, "qid").to_numpy(), units, whole(right, "id"), whole(right, "vector"), whole(right, "list_id") if by_list else None, k, decimals))
+
+        found = a.groupBy("__qid", "__id").cogroup(b.groupBy("__qid", "__id")).applyInArrow(pair, schema)
     keys = ["qid", *(["list_id"] if by_list else [])]
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cosine"), "id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("cosine"), "id")))
     return ranked.where(F.col("rank") <= k)
 
 

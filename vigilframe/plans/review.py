@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.functions.hashing import material_fingerprint
+from vigilframe.functions.text import canonicalize
 from vigilframe.operators import ledger
 from vigilframe.streaming.incremental import rescan_summary
 
@@ -16,10 +17,10 @@ Screener = Callable[[DataFrame], DataFrame]
 
 def tiered(customers: DataFrame, matches: DataFrame, entities: DataFrame) -> DataFrame:
     """Rows for the ledger: customer_id, entity_id, score, tier, fingerprint. matches: customer_id, id, score, tier."""
-    who = customers.select("customer_id", F.col("name").alias("c_name"), F.col("dob").alias("c_dob"), F.col("country").alias("c_country"))
-    what = entities.select("id", F.col("primary_name").alias("e_name"), F.transform("aliases", lambda a: a["name"]).alias("e_aliases"), F.col("dob").alias("e_dob"), F.col("countries").alias("e_countries"))
+    who = customers.select("customer_id", canonicalize(F.col("name")).alias("c_name"), F.col("country").alias("c_country"))
+    what = entities.select("id", canonicalize(F.col("primary_name")).alias("e_name"), F.transform("aliases", lambda a: a["name"]).alias("e_aliases"), F.col("dob").alias("e_dob"), F.col("countries").alias("e_countries"))
     joined = matches.join(who, "customer_id").join(what, "id")
-    print_ = material_fingerprint(F.col("c_name"), F.col("c_dob"), F.col("c_country"), F.col("e_name"), F.col("e_aliases"), F.col("e_dob"), F.col("e_countries"))
+    print_ = material_fingerprint(F.col("c_name"), F.col("c_country"), F.col("e_name"), F.col("e_aliases"), F.col("e_dob"), F.col("e_countries"))
     return joined.select("customer_id", F.col("id").cast("string").alias("entity_id"), "score", "tier", print_.alias("fingerprint"))
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vigilframe.config import TITLES
 from vigilframe.functions import hashing, text, vectors
 from vigilframe.operators import blocking, customers, evaluate, gates, integrity, ledger, scoring, screen, vector_search
 from vigilframe.sources import feeds, sinks
@@ -98,7 +99,7 @@ def vector_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 # --- text ------------------------------------------------------------------------------------------------------
 
-TITLES_SQL = "('mr','mrs','miss','ms','dr','prof','professor','sir','dame','lord','lady','hon','honorable','rev','reverend','fr','father','sr','sister','br','brother')"
+TITLES_SQL = "(" + ", ".join(f"'{t}'" for t in TITLES) + ")"
 
 
 @query(
@@ -202,11 +203,6 @@ def index_keys(spark: SparkSession, d: str) -> DataFrame:
     return blocking.index_stats(_t(spark, d, "part").select(F.col("p_partkey").alias("id"), text.canonicalize_ascii(F.col("p_name")).alias("name_canonical")))
 
 
-@query("SELECT lang AS script, count(*)::BIGINT AS n FROM documents GROUP BY lang")
-def script_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "documents").groupBy(F.col("lang").alias("script")).agg(F.count("*").alias("n"))
-
-
 # --- scoring ---------------------------------------------------------------------------------------------------
 
 
@@ -264,7 +260,7 @@ def strictness_levels(spark: SparkSession, d: str) -> DataFrame:
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
     c, n = _t(spark, d, "customer"), _t(spark, d, "nation")
-    return c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_mktsegment").alias("qid"), F.col("n_name").alias("list_id"), F.col("c_custkey").alias("id"), F.round(F.greatest(F.lit(0.0), F.col("c_acctbal") / 10000), 6).alias("score"), F.concat(F.lit("v"), F.col("n_regionkey")).alias("list_version"))
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("c_mktsegment").alias("qid"), F.col("n_name").alias("list_id"), F.col("c_custkey").alias("id"), F.round(F.greatest(F.lit(0.0), F.col("c_acctbal") / 10000), 6).alias("score"), F.concat(F.lit("v"), F.col("n_regionkey")).alias("list_version"))
 
 
 MATCHED = "m AS (SELECT c_mktsegment AS qid, n_name AS list_id, c_custkey AS id, round(greatest(0.0, c_acctbal / 10000), 6) AS score, 'v' || n_regionkey AS list_version FROM customer JOIN nation ON c_nationkey = n_nationkey)"
@@ -295,13 +291,6 @@ def versions_used(spark: SparkSession, d: str) -> DataFrame:
     return screen.versions_used(screen.merge_lists(screen.top_per_list(_floored(spark, d), 5), 20)).select("qid", "watchlist_version")
 
 
-@query(f"WITH {MATCHED} SELECT list_id, count(*)::BIGINT AS n FROM m WHERE list_id IN (SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')) GROUP BY list_id")
-def enabled_lists(spark: SparkSession, d: str) -> DataFrame:
-    n, r = _t(spark, d, "nation"), _t(spark, d, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))
-    names = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left_semi").select(F.col("n_name").alias("list_id"))
-    return _matches(spark, d).join(names, "list_id", "left_semi").groupBy("list_id").agg(F.count("*").alias("n"))
-
-
 @query(
     TOPK
     + """, v AS (SELECT qid, id, cosine FROM ranked WHERE rank <= 10), k AS (SELECT q.vec_id AS qid, e.vec_id AS id FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 20 = 0)
@@ -510,12 +499,6 @@ def content_hashes(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "documents").select("doc_id", hashing.sha256_tag(F.col("text")).alias("tag"))
 
 
-@query()
-def material_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    return _t(spark, d, "customer").select("c_custkey", hashing.material_fingerprint(F.col("c_name"), F.lit(None), F.lit("us"), F.col("c_mktsegment"), F.array("c_name"), none, F.array(F.lit("US"))).alias("fingerprint"))
-
-
 # --- evaluation, events ------------------------------------------------------------------------------------------
 
 
@@ -551,13 +534,6 @@ def confusion_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.binary_report(rows, ["segment"]).select("segment", "n", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), F.round("accuracy", 6).alias("accuracy"), F.round("fpr", 6).alias("fpr"))
 
 
-@query()
-def decision_cells(spark: SparkSession, d: str) -> DataFrame:
-    none = F.array().cast("array<string>")
-    rows = _t(spark, d, "labels").select(F.col("doc_id").alias("qid"), F.when(F.col("doc_id") % 2 == 0, "even").otherwise("odd").alias("segment"), (F.col("toxic") == 1).alias("truth"), F.when(F.col("quality") == 1, F.array(F.lit("lenient"), F.lit("balanced"))).otherwise(none).alias("kept"))
-    return evaluate.decision_cells(rows.withColumn("primary", F.slice("kept", 1, 1)))
-
-
 @query(
     """WITH s AS (SELECT toxic = 1 AS truth, n_chars AS score FROM labels JOIN documents USING (doc_id)), r AS (SELECT truth, score, count(*) OVER (ORDER BY score RANGE UNBOUNDED PRECEDING) AS le, count(*) OVER (PARTITION BY score) AS eq FROM s)
     SELECT round((sum(le - (eq - 1) / 2.0) FILTER (WHERE truth) - count(*) FILTER (WHERE truth) * (count(*) FILTER (WHERE truth) + 1) / 2.0) / (count(*) FILTER (WHERE truth) * count(*) FILTER (WHERE NOT truth)), 6)::DOUBLE AS roc_auc FROM r"""
@@ -577,7 +553,7 @@ def missing_expected(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
-    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("ordinal"), "c_name")
+    c = _t(spark, d, "customer").select((F.col("c_custkey") - 1).alias("ordinal"), "c_name")
     return evaluate.sample_rows(c, "ordinal", c.count(), 100, 20260803)
 
 
@@ -593,10 +569,6 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT source, quantile_disc(n_chars, 0.5)::BIGINT AS p50, quantile_disc(n_chars, 0.95)::BIGINT AS p95 FROM documents GROUP BY source")
 def nearest_rank(spark: SparkSession, d: str) -> DataFrame:
-    rank = lambda p: F.expr(f"percentile_disc({p}) within group (order by n_chars)").cast("long")
-    return _t(spark, d, "documents").groupBy("source").agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"))
+    return evaluate.nearest_rank(_t(spark, d, "documents"), ["source"], "n_chars", {"p50": 0.5, "p95": 0.95})
 
 
-@query("SELECT c_custkey, c_name FROM (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey DESC) AS k FROM customer) WHERE k BETWEEN 25 AND 48")
-def directory_page(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "customer").orderBy(F.desc("c_acctbal"), F.desc("c_custkey")).offset(24).limit(24).select("c_custkey", "c_name")

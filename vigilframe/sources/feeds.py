@@ -118,7 +118,12 @@ def read_script_aliases(spark: SparkSession, path: str) -> DataFrame:
     names = party.select(F.col("_FixedRef").alias("number"), F.explode("Profile").alias("p")).select("number", F.explode("p.Identity").alias("i")).select("number", F.explode("i.Alias").alias("a")).select("number", F.explode("a.DocumentedName").alias("d"))
     parts = F.filter(F.flatten(F.transform("d.DocumentedNamePart", lambda x: x["NamePartValue"])), lambda v: v["_VALUE"].isNotNull() & (F.trim(v["_VALUE"]) != ""))
     flat = names.select("number", parts.alias("v")).where(F.size("v") > 0).select("number", F.concat_ws(" ", F.transform("v", lambda x: F.trim(x["_VALUE"]))).alias("name"), F.element_at("v", -1)["_ScriptID"].alias("id"))
-    return flat.join(F.broadcast(scripts), "id", "left").select("number", "name", F.coalesce("script", F.lit("Unknown")).alias("script")).where("script <> 'Latin'").dropDuplicates(["number", "name"])
+    return flat.join(scripts, "id", "left").select("number", "name", F.coalesce("script", F.lit("Unknown")).alias("script")).where("script <> 'Latin'").dropDuplicates(["number", "name"])
+
+
+def script_histogram(aliases: DataFrame) -> DataFrame:
+    """script, n: aliases by script."""
+    return aliases.groupBy("script").agg(F.count("*").alias("n"))
 
 
 def check_feed_size(spark: SparkSession, path: str, limit: int = 512 << 20) -> int:
