@@ -24,9 +24,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a copy in the shared folder, which outlives any executor."""
+#: rows of a narrow table in one file of a checkpoint
+PER_FILE = 50_000
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut lineage with a copy in the shared folder, which outlives any executor. rows: about how many there are at most, where
+    that is known: small tables then take few files, whatever the number of shuffle partitions is."""
     ensure_checkpoint_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(8, rows // PER_FILE))
     return df.checkpoint(eager=True)
 
 

@@ -26,15 +26,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for each node of edges (a, b). No edges, no rows.
+def connected_components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """node, root (the smallest node reachable) for each node of edges (a, b). No edges, no rows. rows: about how many edges.
 
     The rounds end when the edges no longer change, told by their number and the sum of a hash over them.
     """
-    now, told = checkpoint(edges.select("a", "b").where("a <> b")), None
+    now, told = checkpoint(edges.select("a", "b").where("a <> b"), rows), None
     while True:
         seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if tuple(seen) == told or not seen[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         told = tuple(seen)
-        now = checkpoint(_star(_star(now, True), False))
+        now = checkpoint(_star(_star(now, True), False), seen[0])

@@ -194,7 +194,8 @@ def entities(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 def surrogates(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
     """kind, canon, surrogate: distinct within a kind, and no entity of the corpus (given names: a permutation)."""
     todo, done = checkpoint(found), None
-    names = checkpoint(todo.select("kind", F.col("canon").alias("surrogate")))
+    n = todo.count()
+    names = checkpoint(todo.select("kind", F.col("canon").alias("surrogate")), n)
     for attempt in range(rounds):
         offered = todo.withColumn("surrogate", propose(F.col("kind"), F.col("canon"), key, attempt))
         first = offered.groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
@@ -202,10 +203,11 @@ def surrogates(found: DataFrame, key: str, rounds: int = 64) -> DataFrame:
         free = first.where(~closed).join(names, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = checkpoint(free.select("kind", "canon", "surrogate").unionByName(offered.where(closed).select("kind", "canon", "surrogate")))
+        won = checkpoint(free.select("kind", "canon", "surrogate").unionByName(offered.where(closed).select("kind", "canon", "surrogate")), n)
         done = won if done is None else done.unionByName(won)
-        todo = checkpoint(todo.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"))
-        if todo.isEmpty():
+        todo = checkpoint(todo.join(won.select("kind", "canon"), ["kind", "canon"], "left_anti"), n)
+        n = todo.count()
+        if not n:
             return done
     raise RuntimeError(f"{rounds} rounds left entities without a free surrogate")
 

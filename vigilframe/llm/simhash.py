@@ -182,8 +182,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     fields = [("node", T.LongType()), ("n", T.LongType()), ("first", T.BinaryType())]
     prints = checkpoint(per_text(keyed, ["doc_id", "row_key"], "text", fields, make))
     order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("row_key"))
-    nodes = checkpoint(prints.groupBy("node").agg(F.min(order).alias("one")))
-    met = checkpoint(prefixes.shared(prints, similarity, table))
+    n = prints.count()
+    nodes = checkpoint(prints.groupBy("node").agg(F.min(order).alias("one")), n)
+    met = checkpoint(prefixes.shared(prints, similarity, table), 8 * n)
 
     def make_sets() -> Callable[[bytes], bytes]:
         members = make_set()
@@ -191,14 +192,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def alike(found: DataFrame) -> DataFrame:
         """Pairs verified on the sets of their nodes, each made from one of the node's texts."""
-        pairs = checkpoint(found)
+        pairs = checkpoint(found, n)
         live = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("one.row_key").alias("row_key")), "node")
-        sets = checkpoint(prefixes.sets_of(keyed, live, make_sets))
-        return checkpoint(prefixes.alike(pairs, sets, similarity))
+        sets = checkpoint(prefixes.sets_of(keyed, live, make_sets), n)
+        return checkpoint(prefixes.alike(pairs, sets, similarity), n)
 
     nearest = alike(prefixes.to_hubs(met, similarity))
-    rest = alike(prefixes.all_pairs(met, similarity, connected_components(nearest)))
-    roots = connected_components(nearest.unionByName(rest))
+    rest = alike(prefixes.all_pairs(met, similarity, connected_components(nearest, n)))
+    roots = connected_components(nearest.unionByName(rest), n)
     labelled = nodes.join(roots, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("one").alias("least"))
     grouped = labelled.join(least, "root").select("node", "least")
