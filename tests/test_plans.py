@@ -88,3 +88,60 @@ def test_zstd_frames(spark):
     for bad in (frame + frame, zstandard.ZstdCompressor().compress(bytes(300_000))):
         with pytest.raises(Exception, match="frame"):
             spark.createDataFrame([(bytearray(bad),)], "f binary").select(hashing.unzstd("f")).collect()
+
+
+def test_origin_refuses_what_was_changed(spark, tmp_path):
+    from vigilframe.functions import hashing
+    from vigilframe.plans import origin
+
+    entities = spark.createDataFrame([("a", "x"), ("b", "y")], "entity_id string, source_list string")
+    catalog = spark.createDataFrame([("x",), ("y",)], "id string")
+    public, private = hashing.ed25519_keypair(spark)
+    path = f"file://{tmp_path}/origin"
+    assert len(origin.publish(spark, entities, catalog, path, 5, private)["files"]) == 3 and origin.verify(spark, path, public, 5).count() == 0
+    with pytest.raises(ValueError, match="older than 6"):
+        origin.verify(spark, path, public, 6)
+    with pytest.raises(ValueError, match="isn't signed"):
+        origin.verify(spark, path, hashing.ed25519_keypair(spark)[0])
+    assert origin.mirror(spark, path, f"file://{tmp_path}/copy", public) == 3
+    part = next((tmp_path / "origin/catalog").glob("part-*"))
+    for crc in (tmp_path / "origin/catalog").glob(".*.crc"):
+        crc.unlink()
+    part.write_text(part.read_text().replace("x", "z"))
+    (tmp_path / "origin/catalog/part-extra").write_text("{}")
+    assert {r["problem"] for r in origin.verify(spark, path, public).collect()} == {"content", "unlisted"}
+    with pytest.raises(ValueError):
+        origin.mirror(spark, path, f"file://{tmp_path}/again", public)
+    assert not (tmp_path / "again").exists()
+
+
+def test_fetch_tries_again():
+    from vigilframe.sources import fetch
+
+    paused, asked = [], []
+
+    def answers(*given):
+        left = list(given)
+
+        def transport(url, headers, seconds):
+            asked.append((url, headers["User-Agent"], seconds))
+            one = left.pop(0)
+            if isinstance(one, Exception):
+                raise one
+            return one
+
+        return transport
+
+    got = fetch.fetch(answers(fetch.Answer(503), ConnectionError("reset"), fetch.Answer(200, b"x")), "u", "feed", sleep=paused.append)
+    assert got.body == b"x" and paused == [1.0, 2.0] and asked[0] == ("u", "vigilframe", 45.0)
+    for given, match in (((fetch.Answer(404),), "404"), ((TimeoutError(),), "45 seconds"), ((fetch.Answer(202, headers={"X-Amzn-Waf-Action": "challenge"}),), "firewall"), ((fetch.Answer(429),) * 3, "429")):
+        with pytest.raises(fetch.FeedError, match=match):
+            fetch.fetch(answers(*given), "u", "feed", sleep=paused.append)
+
+
+def test_reports_are_merged():
+    from vigilframe.plans import publish
+
+    assert publish.merge_reports([]) == {"mode": "none", "added": 0, "reason": None}
+    both = [{"mode": "enriched", "added": 3}, {"mode": "degraded", "added": 0, "reason": "gone"}, {"mode": "none", "added": 0}]
+    assert publish.merge_reports(both) == {"mode": "degraded", "added": 3, "reason": "gone"}

@@ -77,3 +77,8 @@ def check_counts(entities: DataFrame, bands: dict[str, tuple[int, int]]) -> None
     bad = [f"{name}: {counts.get(name, 0)}" for name, (lo, hi) in bands.items() if not lo <= counts.get(name, 0) <= hi]
     if bad or not bands:
         raise ValueError("implausible counts: " + ", ".join(bad))
+
+
+def fits_quota(quota: Column, usage: Column, needed: Column) -> Column:
+    """Whether what is needed fits; an unknown quota or usage counts as enough."""
+    return F.coalesce(quota - usage >= needed, F.lit(True))

@@ -145,6 +145,22 @@ def put_settings(settings: DataFrame, new: DataFrame) -> DataFrame:
     return settings.join(new.select("key"), "key", "left_anti").unionByName(new.select(settings.columns))
 
 
+#: columns that each version of the tables added: version, table, column, type
+MIGRATIONS = [(2, "matches", "fingerprint", "string"), (2, "matches", "review_state", "string"), (3, "matches", "notes", "string"), (4, "customers", "onboarded_by", "string")]
+HEAD = 4
+
+
+def migrate(tables: dict[str, DataFrame], version: int) -> tuple[dict[str, DataFrame], int]:
+    """Tables of an older version with the columns that came later, null; at HEAD nothing changes. A newer version is refused."""
+    if version > HEAD:
+        raise ValueError(f"version {version} is newer than {HEAD}")
+    out = dict(tables)
+    for since, name, column, kind in MIGRATIONS:
+        if since > version and name in out and column not in out[name].columns:
+            out[name] = out[name].withColumn(column, F.lit(None).cast(kind))
+    return out, HEAD
+
+
 def customers_page(customers: DataFrame, page: int, size: int = 24) -> tuple[DataFrame, int]:
     """One page of the customers, newest first (ties by id, descending), and its number: pages count from 1, and a number outside
     of them is the nearest one."""

@@ -67,3 +67,8 @@ def screen(queries: DataFrame, entities: DataFrame, vectors: DataFrame, preset:
     merged = merge_lists(top_per_list(scored, k), k)
     contained = gates.token_containment(F.split("query_canonical", " "), F.flatten(F.transform("names", lambda n: F.split(n, " "))))
     return merged.select("qid", "rank", "list_id", "list_version", "id", "primary_name", "score", "vector_similarity", "lexical_similarity", contained.alias("token_containment"), gates.classify_tier(F.col("score"), F.col("floor")).alias("tier"), "reasons", "summary")
+
+
+def capped(results: DataFrame, k: int) -> DataFrame:
+    """qid, n, capped: whether a search returned as many as it may, so that there can be more. Counted before any gate."""
+    return results.groupBy("qid").agg(F.count("*").alias("n")).withColumn("capped", F.col("n") >= k)

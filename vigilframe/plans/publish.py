@@ -36,6 +36,12 @@ def enrich_or_degrade(spark: SparkSession, lines: DataFrame, source: Source) ->
         return lines, {"mode": "degraded", "added": 0, "reason": str(e)[:200]}
 
 
+def merge_reports(reports: list[dict]) -> dict:
+    """Added aliases of all lists, and the worst of their modes: degraded before enriched before none."""
+    worst = max(reports, key=lambda r: ["none", "enriched", "degraded"].index(r["mode"]), default={"mode": "none"})
+    return {"mode": worst["mode"], "added": sum(r["added"] for r in reports), "reason": worst.get("reason")}
+
+
 def stage(spark: SparkSession, source: Source) -> tuple[DataFrame, dict]:
     lines = source.read(spark)
     count = lines.count()

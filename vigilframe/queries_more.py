@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from vigilframe.functions import hashing, settings, text
 from vigilframe.operators import evaluate, gates, integrity, ledger, screen, vector_search
-from vigilframe.plans import publish, recall, receipts, review
+from vigilframe.plans import dossier, origin, publish, recall, receipts, review
 from vigilframe.queries import CELLS, SIDES, TOPK, _asked, _ledger, _matches, _rows, _t, query
 from vigilframe.sources import feeds, files, sinks
 from vigilframe.streaming import incremental
@@ -599,3 +599,46 @@ def streamed_events(spark: SparkSession, d: str) -> DataFrame:
     incremental.append_events(incremental.event_stream(spark, f"{folder}/in", 100), f"{folder}/log", f"{folder}/state").awaitTermination()
     counted = incremental.windowed_counts(spark.read.schema(incremental.EVENT).parquet(f"{folder}/log"))
     return counted.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    """SELECT c_custkey::VARCHAR AS entity_id, 'A|B' AS aliases, '' AS addresses, CASE WHEN c_custkey % 2 = 0 THEN 'Passport P' || c_custkey || '|National ID N1|Tax 1|Tax 2' ELSE '' END AS lines, 12::INTEGER AS columns FROM customer"""
+)
+def dossiers(spark: SparkSession, d: str) -> DataFrame:
+    ids = F.struct(F.array(F.concat(F.lit("P"), "c_custkey")).alias("passport"), F.array(F.lit("N1")).alias("national_id"), F.create_map(F.lit("Tax"), F.array(F.lit("1"), F.lit("2"))).alias("other"))
+    rows = _t(spark, d, "customer").select(
+        F.col("c_custkey").cast("string").alias("entity_id"), F.col("c_name").alias("primary_name"), F.lit("PERSON").alias("entity_type"), F.lit("SANCTION").alias("risk_category"), F.array(F.struct(F.lit("A").alias("name")), F.struct(F.lit("B").alias("name"))).alias("aliases"),
+        F.array().cast("array<string>").alias("dob"), F.array(F.lit("US")).alias("countries"), F.when(F.col("c_custkey") % 2 == 0, ids).alias("identifiers"), F.lit(0.5).alias("score"), F.lit("x").alias("explanation"), F.array().cast("array<string>").alias("reasons"),
+    )
+    made = dossier.dossier(rows)
+    return made.select("entity_id", _joined("aliases").alias("aliases"), _joined("addresses").alias("addresses"), F.concat_ws("|", dossier.identifier_lines(F.col("identifiers"))).alias("lines"), F.lit(len(made.columns)).alias("columns"))
+
+
+@query("SELECT c_nationkey AS qid, count(*)::BIGINT AS n, count(*) >= 25 AS capped FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer) WHERE k <= 25 GROUP BY c_nationkey")
+def capped_searches(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "customer").select(F.col("c_nationkey").alias("qid"), F.lit("l").alias("list_id"), F.col("c_custkey").alias("id"), F.lit(0.5).alias("score"))
+    return screen.capped(screen.top_per_list(rows, 25), 25)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN true ELSE o_totalprice >= 100000 END AS fits FROM orders")
+def storage_quota(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").select("o_orderkey", integrity.fits_quota(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")), F.lit(40_000), F.lit(60_000)).alias("fits"))
+
+
+@query("SELECT c_custkey::VARCHAR AS customer_id, true AS empty, 4::INTEGER AS version FROM customer")
+def migrated_tables(spark: SparkSession, d: str) -> DataFrame:
+    old = {"matches": _t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"))}
+    tables, version = ledger.migrate(old, 1)
+    return tables["matches"].select("customer_id", (F.col("fingerprint").isNull() & F.col("review_state").isNull() & F.col("notes").isNull()).alias("empty"), F.lit(version).alias("version"))
+
+
+@query("SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'L1' ELSE 'L2' END AS source_list, count(*)::BIGINT AS n, 0::BIGINT AS problems FROM supplier GROUP BY ALL")
+def signed_origin(spark: SparkSession, d: str) -> DataFrame:
+    """Published with a new key, mirrored, verified, and read from the mirror."""
+    entities = files.to_wire(_source_lines(spark, d))
+    catalog = entities.groupBy(F.col("source_list").alias("id")).agg(F.max("list_version").alias("version"))
+    public, private = hashing.ed25519_keypair(spark)
+    origin.publish(spark, entities, catalog, path := _folder(spark), 3, private)
+    origin.mirror(spark, path, copy := _folder(spark), public)
+    problems = origin.verify(spark, copy, public, 3).count()
+    return spark.read.json(f"{copy}/entities").groupBy("source_list").agg(F.count("*").alias("n")).withColumn("problems", F.lit(problems).cast("long"))
