@@ -51,7 +51,7 @@ def publish(spark: SparkSession, entities: DataFrame, catalog: DataFrame, path:
 
 
 def _manifest(spark: SparkSession, path: str, public_key: bytes, live_sequence: int = 0) -> dict:
-    read = {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "manifest.*").load(path).collect()}
+    read = {r["path"].rsplit("/", 1)[-1]: bytes(r["content"]) for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.*").load(path).collect()}
     if not hashing.ed25519_verify(spark, public_key, read.get("manifest.json", b""), read.get("manifest.sig", b"")):
         raise ValueError("the manifest isn't signed by this key")
     manifest = json.loads(read["manifest.json"])
