@@ -304,9 +304,11 @@ def candidate_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _screen(spark: SparkSession, d: str) -> DataFrame:
-    """Parts as list entries with the embeddings as their vectors, asked for by the vectors whose id is divisible by 20."""
-    v = _rows(spark, d)
-    entries = _t(spark, d, "part").join(v.select(F.col("id").alias("p_partkey")), "p_partkey", "left_semi")
+    """Parts as list entries, each with one of the embeddings as its vector, asked for by the parts whose id is divisible by 20."""
+    rows = _rows(spark, d)
+    n = rows.count()
+    entries = _t(spark, d, "part")
+    v = entries.join(rows.withColumnRenamed("id", "__v"), F.pmod("p_partkey", F.lit(n)) == F.col("__v")).select(F.col("p_partkey").alias("id"), "vector")
     entities = entries.select(
         F.col("p_partkey").alias("id"), F.col("p_type").alias("list_id"), F.lit("v1").alias("list_version"), F.lit("PERSON").alias("entity_type"), F.col("p_name").alias("primary_name"), text.canonicalize_ascii(F.col("p_name")).alias("name_canonical"),
         F.array(F.struct(F.col("p_brand").alias("name"), text.canonicalize_ascii(F.col("p_brand")).alias("name_canonical"))).alias("aliases"), F.array(F.concat(F.lit("19"), F.lpad((F.col("p_size") + 40).cast("string"), 2, "0"))).alias("dob"), F.array(F.lit("US")).alias("countries"),
