@@ -25,8 +25,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from vigilframe.llm.common import per_text
 
-#: words of which a task remembers the tokens; forgetting changes nothing but the time
-REMEMBERED = 120_000
+#: words of which a process remembers the tokens, in each of two generations; forgetting changes nothing but the time
+REMEMBERED = 100_000
 NEVER = 1 << 30
 
 
@@ -90,6 +90,7 @@ class Vocabulary:
         self._edges([tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]])
         self._automaton()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _edges(self, merges: list[tuple[str, str]]) -> None:
         """For each token the tokens on its left and right edge, each with the rank at which its parent takes it up."""
@@ -150,7 +151,7 @@ class Vocabulary:
                 pair = before << 20 | token
                 ok = apart.get(pair)
                 if ok is None:
-                    if len(apart) > 150_000:
+                    if len(apart) > 300_000:
                         apart.clear()
                     ok = apart[pair] = not self._crossed(before, token)
                 if not ok:
@@ -170,16 +171,19 @@ class Vocabulary:
         return self.newer.normalize_str(text) if self.beyond.search(text) else unicodedata.normalize("NFC", text).lower()
 
     def _pieces(self, text: str) -> bytes:
-        known, out = self.known, []
+        known, older, out = self.known, self.older, []
         text = self.normal(text)
         words = next(words for outside, words in self.planes if outside is None or not outside.search(text))
         for word in words.findall(text):
             ids = known.get(word)
             if ids is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
+                ids = older.get(word)
+                if ids is None:
+                    ids = np.array(self.encode_word(word), dtype="<u4").tobytes()
                 if len(word) <= 32:
+                    if len(known) >= REMEMBERED:
+                        older = self.older = known
+                        known = self.known = {}
                     known[word] = ids
             out.append(ids)
         return b"".join(out)
