@@ -34,15 +34,14 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """
     rows = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text")).alias("t"))
     sorted_turns = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    start = F.struct(F.lit(None).cast("string").alias("role"), F.array().cast("array<string>").alias("done"))
 
     # each turn opens a block, or goes on with the block of the same role before it
-    def add(acc: Column, x: Column) -> Column:
-        head = F.when(acc["role"] == x["role"], F.lit(SEP)).otherwise(F.concat(F.when(acc["role"].isNull(), "").otherwise(END), F.lit(START), F.url_encode(x["role"]), F.lit("\n")))
-        return F.struct(x["role"].alias("role"), F.concat(acc["done"], F.array(F.concat(head, escape(x["text"])))).alias("done"))
+    def part(x: Column, i: Column) -> Column:
+        before = F.get("turns", i - 1)["role"]
+        opens = F.concat(F.when(before.isNull(), "").otherwise(END), F.lit(START), F.url_encode(x["role"]), F.lit("\n"))
+        return F.concat(F.when(before == x["role"], F.lit(SEP)).otherwise(opens), escape(x["text"]))
 
-    whole = F.aggregate("turns", start, add, lambda acc: F.concat(F.concat_ws("", acc["done"]), F.lit(END)))
-    return sorted_turns.select("conv_id", whole.alias("formatted"))
+    return sorted_turns.select("conv_id", F.concat(F.array_join(F.transform("turns", part), ""), F.lit(END)).alias("formatted"))
 
 
 def parse_chats(formatted: DataFrame, conv: str = "conv_id", column: str = "formatted") -> DataFrame:
