@@ -26,7 +26,7 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 from vigilframe.llm.common import per_text
 
 #: words of which a process remembers the tokens, in each of two generations; forgetting changes nothing but the time
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 NEVER = 1 << 30
 
 
@@ -151,7 +151,7 @@ class Vocabulary:
                 pair = before << 20 | token
                 ok = apart.get(pair)
                 if ok is None:
-                    if len(apart) > 300_000:
+                    if len(apart) > 200_000:
                         apart.clear()
                     ok = apart[pair] = not self._crossed(before, token)
                 if not ok:
