@@ -44,6 +44,15 @@ def source_targets(weighted: DataFrame, max_rate: int = 3) -> DataFrame:
     return weighted.withColumn("target", F.least(cap.cast("double"), F.col("weight") * F.lit(float(share))))
 
 
+#: sources whose rates are sent to all tasks at most: a row of some hundred bytes each
+MOST_SOURCES = 10_000
+
+
+def _sent(rates: DataFrame, sources: int) -> DataFrame:
+    """A broadcast where the counted sources are few; else a join by source, which AQE can split for a hot one."""
+    return F.broadcast(rates) if sources <= MOST_SOURCES else rates
+
+
 def uniform(key: Column, seed: int) -> Column:
     """A number in [0, 1) that depends on the key and the seed alone: 52 bits of an MD5."""
     bits = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary")), 1, 13), 16, 10)
@@ -81,17 +90,18 @@ def emit(docs: DataFrame, seed: int = 42, max_rate: int = 3, id_col: str = "doc_
     """The mixed corpus: the rows of docs, each as often as mix() says, with the columns of docs only. The null source is a source;
     repeated rows are drawn alike; sources without words are left out; empty input gives an empty result.
 
-    Copies are made where the row is, by a rate that is joined by source; texts aren't shuffled unless the table of
-    sources outgrows Spark's size limit for broadcasts.
+    Copies are made where the row is, by a rate that is joined by source; texts aren't shuffled unless there are more than
+    MOST_SOURCES sources.
     """
     sizes = docs.select(F.col(source).alias("source"), word_count(F.col(text)).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = source_targets(cyclic_weights(sizes), max_rate).select(
+    weighted = cyclic_weights(sizes)
+    rates = source_targets(weighted, max_rate).select(
         F.col("source").isNull().alias("__n"), F.coalesce("source", F.lit("")).alias("__s"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("__rate")
     )
     keyed = docs.withColumn("__n", F.col(source).isNull()).withColumn("__s", F.coalesce(F.col(source), F.lit("")))
     copies = F.floor("__rate") + (uniform(F.col(id_col), seed) < F.col("__rate") - F.floor("__rate")).cast("long")
     times = F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>"))
-    return keyed.join(rates, ["__n", "__s"]).withColumn("__copy", F.explode(times)).select(*docs.columns)
+    return keyed.join(_sent(rates, weighted.count()), ["__n", "__s"]).withColumn("__copy", F.explode(times)).select(*docs.columns)
 
 
 ORACLE = r"""
