@@ -281,8 +281,8 @@ def test_counterfactuals_stop_blame_for_mentions():
     texts = [text("idiot", "muslim") for _ in range(60)] + [text("idiot") for _ in range(20)] + [text() for _ in range(150)] + [text("christian") for _ in range(20)] + [text("muslim") for _ in range(8)]
     texts += [text("muslim", "and", "christian") for _ in range(4)]
     labels = [1] * 80 + [0] * 182
-    sets, swapped = [toxicity.word_keys(t) for t in texts], [toxicity.word_keys(toxicity.counterfactual(t)) for t in texts]
-    fair, plain = toxicity.fit(sets, labels, swapped), toxicity.fit(sets, labels, swapped, fairness=0.0)
+    sets, changed = [toxicity.word_keys(t) for t in texts], [toxicity.change(t) for t in texts]
+    fair, plain = toxicity.fit(sets, labels, changed), toxicity.fit(sets, labels, changed, fairness=0.0)
     gap = lambda m: abs(m.score(toxicity.word_keys("w1 w2 muslim")) - m.score(toxicity.word_keys("w1 w2 christian")))
     assert gap(fair) < 0.5 * gap(plain) and gap(fair) < 0.1
     assert fair.score(toxicity.word_keys("w1 muslim w3")) < 0.5 < fair.score(toxicity.word_keys("w1 idiot"))
@@ -316,7 +316,7 @@ def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
     docs = frame(spark, [(i % 40, f"text {i % 40} word{i}") for i in range(4000)])
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, toxic int, text int")
     seen = []
-    monkeypatch.setattr(toxicity, "fit", lambda texts, y, swapped: seen.append((len(texts), len(y), len(swapped))))
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, changed: seen.append((len(texts), len(y), len(changed))))
     toxicity.train(docs, labels, sample=10)
     assert seen == [(10, 10, 10)]
 

@@ -65,6 +65,12 @@ def counterfactual(text: str) -> str:
     return WORDS.sub(lambda m: SWAP.get(m[0], m[0]), text.lower())
 
 
+def change(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The word keys that the text has and its counterfactual hasn't, and the other way round; both empty without a group's term."""
+    own, other = word_keys(text), word_keys(counterfactual(text))
+    return _array(own - other), _array(other - own)
+
+
 def held_out(id_col: Column) -> Column:
     """Whether crc32 of the id as text leaves 0 when divided by five; false for null ids."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -100,9 +106,9 @@ def _places(rows: np.ndarray, keys: np.ndarray, chosen: np.ndarray) -> tuple[np.
     return rows[known], at[known]
 
 
-def fit(texts: list[set[int] | np.ndarray], labels: list[int], swapped: list[set[int] | np.ndarray] | None = None, fairness: float = 1.0, ridge: float = 1e-4, steps: int = 600, rate: float = 0.5, features: int = FEATURES) -> Model:
-    """Fit on the word keys of texts, both labels with the same weight in all. swapped: the word keys of each text's
-    counterfactual, equal to the text's where it names no group. fairness weighs the mean squared change of the score's logit over
+def fit(texts: list[set[int] | np.ndarray], labels: list[int], changed: list[tuple[np.ndarray, np.ndarray]] | None = None, fairness: float = 1.0, ridge: float = 1e-4, steps: int = 600, rate: float = 0.5, features: int = FEATURES) -> Model:
+    """Fit on the word keys of texts, both labels with the same weight in all. changed: what change() tells of
+    each text. fairness weighs the mean squared change of the score's logit over
     the texts that name one, ridge the squared weights.
 
     Words are chosen by the chi-square statistic of their presence, those seen in under three texts left out; what only one of a
@@ -126,7 +132,7 @@ def fit(texts: list[set[int] | np.ndarray], labels: list[int], swapped: list[set
     order = np.lexsort((words, -chi))[:features]
     chosen = words[order[chi[order] > 10.83]]  # 10.83: chance below 0.001
     # features that only one of a text and its counterfactual has
-    changes = [(np.setdiff1d(t, s), np.setdiff1d(s, t)) for t, s in zip(map(_array, texts), map(_array, swapped or texts), strict=True) if not np.array_equal(t, s)]
+    changes = [pair for pair in changed or [] if len(pair[0]) or len(pair[1])]
     named = np.unique(np.concatenate([x for pair in changes for x in pair])) if changes else np.empty(0, np.uint32)
     chosen = np.unique(np.concatenate((chosen, named[np.isin(named, words[seen >= 3])])))
     if not len(chosen):
@@ -186,13 +192,17 @@ def mention_gap(model: Model, sentences: list[str]) -> float:
 
 
 def _keyed(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, and the word keys of each text and of its counterfactual."""
-    packed = lambda t: np.array(sorted(word_keys(t)), "<u4").tobytes()
+    """keys, the word keys of each text, and what only one of it and its counterfactual has."""
+    packed = lambda keys: keys.astype("<u4").tobytes()
 
     def make() -> Callable[[bytes | None], tuple]:
-        return lambda raw: (packed((raw or b"").decode()), packed(counterfactual((raw or b"").decode())))
+        def one(raw: bytes | None) -> tuple:
+            text = (raw or b"").decode()
+            return packed(_array(word_keys(text))), *map(packed, change(text))
+
+        return one
 
-    return per_text(docs, keys, text, [("word_keys", T.BinaryType()), ("swapped", T.BinaryType())], make)
+    return per_text(docs, keys, text, [("word_keys", T.BinaryType()), ("gone", T.BinaryType()), ("come", T.BinaryType())], make)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, **fitting: float) -> Model:
@@ -211,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     one = found.groupBy("doc_id", "y").agg(F.min(F.struct("h", "text")).alias("t")).groupBy("t.h").agg(F.max(F.struct("y", "doc_id", "t.text")).alias("r"))
     rows = _keyed(one.select("r.*"), ["doc_id", "y"], "text").toPandas().sort_values("doc_id")
     read = lambda name: [np.frombuffer(k, "<u4") for k in rows[name]]
-    return fit(read("word_keys"), [int(y > 0) for y in rows["y"]], read("swapped"), **fitting)
+    return fit(read("word_keys"), [int(y > 0) for y in rows["y"]], list(zip(read("gone"), read("come"), strict=True)), **fitting)
 
 
 def score(docs: DataFrame, model: Model, keys: list[str], text: str = "text") -> DataFrame:
