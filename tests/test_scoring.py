@@ -93,3 +93,42 @@ def test_search_by_blocks_equals_search_at_once(spark):
     assert vector_search.topk_exact(asked.limit(0), rows, 5).count() == 0
     with pytest.raises(Exception, match="the vector of 5 has 2 numbers, not 8"):
         vector_search.topk_exact(asked, spark.createDataFrame([(5, [1.0, 0.0])], "id long, vector array<double>"), 5).collect()
+
+
+@pytest.mark.parametrize("equal", [False, True])
+def test_many_queries_taken_from_the_rows_themselves(spark, equal):
+    """More queries than are sent to all tasks, with the rows' own columns; equal vectors are asked once, all queries get rows."""
+    import numpy as np
+
+    from vigilframe.operators import vector_search
+
+    rng = np.random.default_rng(6)
+    made = [v / np.linalg.norm(v) for v in rng.normal(size=(3 if equal else 120, 8))]
+    vectors = {i: made[i % len(made)] for i in range(120)}
+    rows = spark.createDataFrame([(i, v.tolist(), f"l{i % 2}") for i, v in vectors.items()], "id long, vector array<double>, list_id string")
+    asked = rows.where("id % 2 = 0").join(rows.select("id", F.col("list_id").alias("name")), "id").select(F.col("id").alias("qid"), "name", "vector")
+    for most in (5, 20, 1000):
+        got = {(r["qid"], r["list_id"], r["rank"]): r["id"] for r in vector_search.topk_exact(asked.select("qid", "vector"), rows, 4, most=most).collect()}
+        want = {}
+        for q in range(0, 120, 2):
+            for name in (0, 1):
+                best = sorted((-round(float(vectors[q] @ vectors[i]), 6), i) for i in range(name, 120, 2))[:4]
+                want |= {(q, f"l{name}", k + 1): i for k, (_, i) in enumerate(best)}
+        assert got == want
+
+
+def test_first_of_long_lines_equals_a_full_sort():
+    import numpy as np
+
+    from vigilframe.operators.vector_search import _first
+
+    rng = np.random.default_rng(7)
+    cosines, ids = np.round(rng.random((20, 300)), 1), rng.permutation(300)
+    want = np.lexsort((np.broadcast_to(ids, cosines.shape), -cosines), axis=1)[:, :9]
+    assert (_first(cosines, ids, 9) == want).all() and (_first(cosines[:, :10], ids[:10], 9)[:, :1] >= 0).all()
+
+
+def test_aliases_and_names_without_values(spark):
+    pairs = spark.createDataFrame([(1, "ann", None, None), (2, "ann", [], []), (3, "ann", [("B", None), ("A", "ann")], ["bob", "ann"]), (4, None, [("C", "c"), ("D", "c")], [None])], "i int, q string, aliases array<struct<name:string,name_canonical:string>>, names array<string>")
+    got = {r["i"]: (r["alias_score"], r["alias_name"], r["lexical_similarity"]) for r in scoring.alias_match(scoring.best_name_similarity(pairs, "q", "names"), None, "q").collect()}
+    assert got == {1: (0.0, None, 0.0), 2: (0.0, None, 0.0), 3: (1.0, "A", 1.0), 4: (0.0, None, 1.0)}

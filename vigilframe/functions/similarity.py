@@ -53,10 +53,47 @@ def token_set(a: str, b: str) -> float:
     return best / 100
 
 
+class _Known(dict):
+    """Similarities of pairs; remembers a bounded number of them, since the same names meet again and again."""
+
+    def __init__(self, f: Callable[[str, str], float]) -> None:
+        self.f = f
+
+    def __missing__(self, pair: tuple[str | None, str | None]) -> float:
+        if len(self) >= 100_000:
+            self.clear()
+        value = self[pair] = self.f(pair[0] or "", pair[1] or "")
+        return value
+
+
 def _pairwise(f: Callable[[str, str], float]) -> Callable:
+    known = _Known(f)
+
     @pandas_udf(T.DoubleType())
     def apply(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x or "", y or "") for x, y in zip(a, b, strict=True)])
+        return pd.Series([known[x, y] for x, y in zip(a, b, strict=True)])
+
+    return apply
+
+
+def _to_each(f: Callable[[str, str], float]) -> Callable:
+    """Of a value to each of an array; null for a null array."""
+    known = _Known(f)
+
+    @pandas_udf(T.ArrayType(T.DoubleType()))
+    def apply(a: pd.Series, many: pd.Series) -> pd.Series:
+        return pd.Series([None if ys is None else [known[x, y] for y in ys] for x, ys in zip(a, many, strict=True)])
+
+    return apply
+
+
+def _best_of(f: Callable[[str, str], float]) -> Callable:
+    """The best of a value and any of an array; 0 for an empty or null array."""
+    known = _Known(f)
+
+    @pandas_udf(T.DoubleType())
+    def apply(a: pd.Series, many: pd.Series) -> pd.Series:
+        return pd.Series([max((known[x, y] for y in (() if ys is None else ys)), default=0.0) for x, ys in zip(a, many, strict=True)])
 
     return apply
 
@@ -64,6 +101,9 @@ def _pairwise(f: Callable[[str, str], float]) -> Callable:
 sequence_ratio_col = _pairwise(sequence_ratio)
 token_sort_col = _pairwise(token_sort)
 token_set_col = _pairwise(token_set)
+best_ratio_col = _best_of(sequence_ratio)
+token_sorts_col = _to_each(token_sort)
+token_sets_col = _to_each(token_set)
 
 
 @pandas_udf(T.ArrayType(T.StringType()))

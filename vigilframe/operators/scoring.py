@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilframe.config import ALIAS_FULL, ALIAS_FUZZY, ALIAS_PARTIAL, ALIAS_SET_FLOOR, ALIAS_SORT_FLOOR, DOB_MENTIONED, PRESETS, STRONG_SIMILARITY
-from vigilframe.functions.similarity import sequence_ratio_col, token_set_col, token_sort_col
+from vigilframe.functions.similarity import best_ratio_col, token_sets_col, token_sorts_col
 
 REASON = "struct<signal:string,value_num:double,value_str:string,weight:double,contribution:double,description:string>"
 
@@ -15,11 +15,9 @@ def _text(value: Column) -> Column:
     return F.format_string("%.3f", value)
 
 
-def best_name_similarity(pairs: DataFrame, keys: list[str], query: str, names: str, out: str = "lexical_similarity") -> DataFrame:
+def best_name_similarity(pairs: DataFrame, query: str, names: str, out: str = "lexical_similarity") -> DataFrame:
     """pairs with the best sequence ratio of the query to any of the names (array); 0 without names."""
-    spread = pairs.select(*keys, F.col(query).alias("__q"), F.explode(names).alias("__n")).withColumn("__s", sequence_ratio_col("__q", "__n"))
-    best = spread.groupBy(*keys).agg(F.max("__s").alias(out))
-    return pairs.join(best, keys, "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
+    return pairs.withColumn(out, best_ratio_col(query, names))
 
 
 def alias_tier(query: Column, alias: Column, sort: Column, sets: Column) -> Column:
@@ -29,16 +27,20 @@ def alias_tier(query: Column, alias: Column, sort: Column, sets: Column) -> Colu
     return F.when(query == alias, ALIAS_FULL).when(sort >= ALIAS_SORT_FLOOR, ALIAS_FULL).when(contained, ALIAS_PARTIAL).when(sets >= ALIAS_SET_FLOOR, ALIAS_FUZZY).otherwise(0.0)
 
 
-def alias_match(pairs: DataFrame, keys: list[str], query: str = "query_canonical", aliases: str = "aliases") -> DataFrame:
+def alias_match(pairs: DataFrame, keys: list[str] | None = None, query: str = "query_canonical", aliases: str = "aliases") -> DataFrame:
     """pairs with alias_score and alias_name: the best tier over the aliases (array of struct(name, name_canonical)),
-    of equal tiers the first alias."""
-    spread = pairs.select(*keys, F.lower(F.col(query)).alias("__q"), F.posexplode(aliases).alias("__i", "__a"))
-    low = F.lower(F.col("__a.name_canonical"))
-    spread = spread.withColumn("__c", low).withColumn("__sort", token_sort_col("__q", "__c")).withColumn("__set", token_set_col("__q", "__c"))
-    tiers = spread.withColumn("__t", alias_tier(F.col("__q"), F.col("__c"), F.col("__sort"), F.col("__set"))).where(F.col("__t") > 0)
-    best = tiers.groupBy(*keys).agg(F.max(F.struct(F.col("__t").alias("t"), (-F.col("__i")).alias("i"), F.col("__a.name").alias("name"))).alias("__b"))
-    joined = pairs.join(best, keys, "left")
-    return joined.withColumn("alias_score", F.coalesce("__b.t", F.lit(0.0))).withColumn("alias_name", F.col("__b.name")).drop("__b")
+    of equal tiers the first alias. keys aren't needed any more: each row is compared where it is."""
+    low = F.transform(aliases, lambda a: F.lower(a["name_canonical"]))
+    with_low = pairs.withColumn("__q", F.lower(F.col(query))).withColumn("__low", low)
+    told = with_low.withColumn("__sort", token_sorts_col("__q", "__low")).withColumn("__set", token_sets_col("__q", "__low"))
+
+    def tier(a: Column, i: Column) -> Column:
+        at = lambda c: F.get(c, i)
+        return F.struct(alias_tier(F.col("__q"), at("__low"), at("__sort"), at("__set")).alias("t"), (-i).alias("i"), a["name"].alias("name"))
+
+    best = F.array_max(F.filter(F.transform(aliases, tier), lambda x: x["t"] > 0))
+    joined = told.withColumn("__b", best)
+    return joined.withColumn("alias_score", F.coalesce("__b.t", F.lit(0.0))).withColumn("alias_name", F.col("__b.name")).drop("__b", "__q", "__low", "__sort", "__set")
 
 
 def dob_signal(dobs: Column, query: Column) -> tuple[Column, Column]:

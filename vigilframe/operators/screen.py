@@ -11,9 +11,12 @@ from vigilframe.operators import blocking, gates, scoring, vector_search
 
 
 def retrieve(by_vector: DataFrame, by_key: DataFrame) -> DataFrame:
-    """qid, list_id, id, cosine: the union, each candidate once, with its cosine where the vector search gave one."""
-    both = by_vector.select("qid", "list_id", "id", "cosine").unionByName(by_key.select("qid", "list_id", "id", F.lit(None).cast("double").alias("cosine")))
-    return both.groupBy("qid", "list_id", "id").agg(F.max("cosine").alias("cosine"))
+    """qid, list_id, id, cosine: the union, each candidate once, with its cosine where the vector search gave one, else by_key's
+    own if it has that column."""
+    none = F.lit(None).cast("double")
+    own = F.col("cosine") if "cosine" in by_key.columns else none
+    both = by_vector.select("qid", "list_id", "id", "cosine", none.alias("own")).unionByName(by_key.select("qid", "list_id", "id", none.alias("cosine"), own.alias("own")))
+    return both.groupBy("qid", "list_id", "id").agg(F.coalesce(F.max("cosine"), F.max("own")).alias("cosine"))
 
 
 def list_threshold(list_id: Column, per_list: dict[str, float] | None, query_threshold: Column, default: float) -> Column:
@@ -56,12 +59,12 @@ def screen(queries: DataFrame, entities: DataFrame, vectors: DataFrame, preset:
     keyed = entities.withColumn("alias_canonicals", F.transform("aliases", lambda a: a["name_canonical"]))
     posted = blocking.postings(keyed, list_col="list_id")
     hits = blocking.candidates(asked.select("qid", F.col("query_canonical").alias("name_canonical")), posted, keyed)
-    found = retrieve(near, hits)
-    pairs = found.join(entities, ["id", "list_id"]).join(asked.withColumnRenamed("vector", "query_vector"), "qid")
-    pairs = vector_search.similarity_of(pairs.withColumnRenamed("cosine", "given"), vectors).withColumn("vector_similarity", F.coalesce("given", "cosine")).drop("given", "cosine", "query_vector")
+    # vectors travel only with what was found by keys; the search has given the cosines of the rest
+    hits = vector_search.similarity_of(hits.join(asked.select("qid", F.col("vector").alias("query_vector")), "qid"), vectors)
+    found = retrieve(near, hits).withColumnRenamed("cosine", "vector_similarity")
+    pairs = found.join(entities, ["id", "list_id"]).join(asked.drop("vector"), "qid")
     pairs = pairs.withColumn("names", blocking.names_of(F.col("name_canonical"), F.transform("aliases", lambda a: a["name_canonical"])))
-    keys = ["qid", "list_id", "id"]
-    pairs = scoring.alias_match(scoring.best_name_similarity(pairs, keys, "query_canonical", "names"), keys)
+    pairs = scoring.alias_match(scoring.best_name_similarity(pairs, "query_canonical", "names"))
     floor = list_threshold(F.col("list_id"), per_list, F.col("threshold"), PRESETS[preset]["threshold"])
     scored = scoring.compute_score(pairs, preset).withColumn("floor", floor).where(F.col("score") >= F.col("floor"))
     merged = merge_lists(top_per_list(scored, k), k)

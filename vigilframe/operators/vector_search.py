@@ -13,6 +13,8 @@ from vigilframe.functions.vectors import cosine_to_unit
 
 #: queries in one matrix product, queries that are sent to all tasks at most, and rows in a block beyond that
 BLOCK, MOST, ROWS = 512, 8192, 65_536
+#: numbers in a matrix of cosines at most, which bounds a task's memory
+CELLS = 1 << 22
 
 
 def _matrix(ids: pa.Array, vectors: pa.Array, width: int | None = None) -> np.ndarray:
@@ -30,17 +32,30 @@ def _units(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)
 
 
+def _first(cosines: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each line's k largest cosines, ties by id. Of long lines only what reaches the k-th largest is sorted."""
+    if cosines.shape[1] <= 4 * k:
+        return np.lexsort((np.broadcast_to(ids, cosines.shape), -cosines), axis=1)[:, :k]
+    least = np.partition(cosines, -k, axis=1)[:, -k]
+    out = np.empty((len(cosines), k), np.int64)
+    for i, line in enumerate(cosines):
+        reach = np.flatnonzero(line >= least[i])
+        out[i] = reach[np.lexsort((ids[reach], -line[reach]))[:k]]
+    return out
+
+
 def _best(qids: np.ndarray, units: np.ndarray, ids: pa.Array, vectors: pa.Array, lists: pa.Array | None, k: int, decimals: int) -> Iterator[pa.RecordBatch]:
     """The k best rows of each query in one batch of rows, for each list if there are lists."""
     own, x = ids.to_numpy(), _matrix(ids, vectors, units.shape[1])
     names = np.zeros(len(own)) if lists is None else np.array(lists.to_pylist(), object)
-    for lo in range(0, len(qids), BLOCK):
-        block = qids[lo : lo + BLOCK]
-        cosines = np.round(units[lo : lo + BLOCK] @ x.T, decimals)
-        for name in dict.fromkeys(names.tolist()):
-            here = np.flatnonzero(names == name)
+    step = max(1, min(BLOCK, CELLS // max(1, len(own))))
+    listed = [(name, np.flatnonzero(names == name)) for name in dict.fromkeys(names.tolist())]
+    for lo in range(0, len(qids), step):
+        block = qids[lo : lo + step]
+        cosines = np.round(units[lo : lo + step] @ x.T, decimals)
+        for name, here in listed:
             part, place = cosines[:, here], own[here]
-            order = np.lexsort((np.broadcast_to(place, part.shape), -part), axis=1)[:, :k]
+            order = _first(part, place, k)
             columns = [pa.array(np.repeat(block, order.shape[1])), pa.array(place[order].ravel()), pa.array(np.take_along_axis(part, order, 1).ravel())]
             if lists is None:
                 yield pa.RecordBatch.from_arrays(columns, names=["qid", "id", "cosine"])
@@ -55,8 +70,8 @@ def topk_exact(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6, m
     both sides; a vector of another width fails by its id. Only the k best of each batch leave a task, so what is shuffled is
     queries times batches times k rows, not pairs.
 
-    Up to `most` queries are sent to all tasks, and the rows are read once where they are. More are a table dealt to blocks, as
-    the rows are, and each pair of blocks meets in a task.
+    Up to `most` queries are sent to all tasks, and the rows are read once where they are. Of more, those with equal vectors are
+    asked once. What is more still is a table dealt to blocks, as the rows are, and each pair of blocks meets in a task.
     """
     by_list = "list_id" in rows.columns
     rows = rows.where("vector is not null").select(F.col("id").cast("long").alias("id"), "vector", *(["list_id"] if by_list else []))
@@ -79,7 +94,13 @@ def topk_exact(queries: DataFrame, rows: DataFrame, k: int, decimals: int = 6, m
 
             found = rows.mapInArrow(each, schema)
     else:
-        sides = [(asked, "qid", max(1, asked.count() // most + 1)), (rows, "id", max(1, rows.count() // ROWS + 1))]
+        n, ones = asked.count(), asked.groupBy("vector").agg(F.min("qid").alias("one"))
+        if ones.count() < n:
+            equal = asked.join(ones, "vector").select("qid", "one")
+            return topk_exact(ones.withColumnRenamed("one", "qid"), rows, k, decimals, most).withColumnRenamed("qid", "one").join(equal, "one").select("qid", "id", "cosine", *(["list_id"] if by_list else []), "rank")
+        # new columns on both sides: queries may come from the rows themselves
+        asked, rows = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (asked, rows))
+        sides = [(asked, "qid", max(1, n // most + 1)), (rows, "id", max(1, rows.count() // ROWS + 1))]
         (a, b), (na, nb) = ((df.withColumn(f"__{key}", F.pmod(F.xxhash64(key), F.lit(n))) for df, key, n in sides), (sides[0][2], sides[1][2]))
         a = a.withColumn("__id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nb - 1).cast("long"))))
         b = b.withColumn("__qid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(na - 1).cast("long"))))
