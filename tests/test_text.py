@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +76,14 @@ def test_small_functions(spark):
     assert row["multi"] == ["a", "b"] and row["number"] == "1:2" and row["blank"] is None and row["cell"] == "'=1" and row["bad"] is None
     assert row["day"] == "2000-02-03" and row["at"] == "2026-06-03T00:00:00.000Z" and row["xml"] == "<a> &lt;" and row["shown"] == "Ann Lee"
     assert text.canonical_header("﻿Customer Reference") == "customerreference"
+
+
+def test_sizes_round_as_printf_does(spark):
+    """By the exact value of the quotient and halves to even: 1.15 is under its half, 1.25 is one."""
+    rnd = random.Random(21)
+    sizes = [0, 999, 1000, 1050, 1150, 1250, 1350, 999_949, 999_950, 999_999, 1_000_000, 1_050_000, 1_150_000, 1_250_000, 999_999_999, 1_150_000_000, 1_250_000_000, (1 << 63) - 1, -5]
+    sizes += [rnd.randrange(1 << rnd.randint(10, 63)) for _ in range(3000)] + [50 * k for k in range(20, 2000)] + [50_000_000 * k for k in range(20, 2000)]
+    plain = lambda n: f"{n} B" if n < 1000 else next(f"{n / unit:.1f} {name}" for unit, name in ((1e3, "kB"), (1e6, "MB"), (1e9, "GB")) if n < unit * 1000 or name == "GB")
+    got = {r["n"]: r["s"] for r in spark.createDataFrame([(n,) for n in [*sizes, None]], "n long").select("n", text.format_bytes(F.col("n")).alias("s")).collect()}
+    assert got == {n: plain(n) for n in sizes} | {None: None}
+    assert got[1150] == "1.1 kB" and got[1_250_000] == "1.2 MB"

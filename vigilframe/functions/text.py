@@ -206,5 +206,17 @@ def age_phrase(seconds: Column) -> Column:
     return F.coalesce(unit, F.when(seconds.isNotNull(), "now"))
 
 
+def _one_decimal(x: Column) -> Column:
+    """A double of at least 1 with one decimal, as C's printf rounds it: by the double's exact value, halves to even. Java's
+    formatter rounds the shortest decimal form and halves up, so that 1.15 (1.149999...) and 1.25 come out otherwise."""
+    whole = F.floor(x)
+    scaled = ((x - whole) * F.lit(float(1 << 52))).cast("long") * 10  # exact: bits under the point end at 2**-52
+    digit, rest, half = F.shiftright(scaled, 52), scaled.bitwiseAND(F.lit((1 << 52) - 1)), F.lit(1 << 51)
+    tenths = whole * 10 + digit + F.when((rest > half) | ((rest == half) & (digit % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def format_bytes(n: Column) -> Column:
-    return F.when(n < 1000, F.format_string("%d B", n)).when(n < 1_000_000, F.format_string("%.1f kB", n / 1e3)).when(n < 1_000_000_000, F.format_string("%.1f MB", n / 1e6)).otherwise(F.format_string("%.1f GB", n / 1e9))
+    """Null for null."""
+    above = lambda unit, name: F.concat(_one_decimal(n / unit), F.lit(name))
+    return F.when(n < 1000, F.format_string("%d B", n)).when(n < 1_000_000, above(1e3, " kB")).when(n < 1_000_000_000, above(1e6, " MB")).when(n.isNotNull(), above(1e9, " GB"))
