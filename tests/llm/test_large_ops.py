@@ -447,6 +447,43 @@ def test_near_duplicates_in_crowded_bands(spark):
     assert got == {i: (c, linked[i]) for i, c in plain_groups(rows).items()} and 1 < len(set(linked.values()))
 
 
+def test_similar_groups_by_simhash_first(spark, monkeypatch):
+    """Without a pair from the prefix filter, what op8's fingerprints link at two bits is still grouped, if it is similar enough;
+    with it, only what SimHash left is paired."""
+    rnd = random.Random(16)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for g in range(8):
+        base = [rnd.choice(words) for _ in range(900)]
+        for k in range(6):
+            copy = list(base)
+            for at in rnd.sample(range(900), k % 3):
+                copy[at] = f"e{rnd.random()}"
+            rows.append((g * 10 + k, " ".join(copy)))
+    rows += [(1000 + i, " ".join(["same"] * 120 + [f"d{i}x{k}" for k in range(80)])) for i in range(4)]  # equal fingerprints, unlike texts
+    prints = [plain_fingerprint(t) for _, t in rows]
+    same = plain_components(prints, 2)
+    linked = {(i, rows[j][0]) for n, (i, _) in enumerate(rows) for j in range(len(rows)) if same[n] == same[j] and n != j}
+    assert len(linked) > 20 and (1003, 1000) in linked
+    pairs, hubs = [], prefixes.to_hubs
+
+    def seen(*args):
+        pairs.append(hubs(*args).count())
+        return hubs(*args)
+
+    monkeypatch.setattr(prefixes, "to_hubs", seen)
+    want = plain_groups(rows)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == want
+    met = sum(want[i] != i for i in want)
+    assert pairs[0] < met
+
+    for name in ("to_hubs", "all_pairs"):
+        monkeypatch.setattr(prefixes, name, lambda *args: spark.createDataFrame([], "a long, b long"))
+    got = {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert all(got[i] == got[j] for i, j in linked if i < 1000) and [got[i] for i in range(1000, 1004)] == [1000, 1001, 1002, 1003]
+    assert all((i, j) in linked for i, j in got.items() if i != j)
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------
 
 

@@ -165,23 +165,29 @@ def possible(n: tuple[Column, Column], place: tuple[Column, Column], threshold:
     return most + SLACK >= threshold / (1 + threshold) * (n[0] + n[1])
 
 
-def to_hubs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of each token's hub and its other nodes, from shared(). The hub has the fewest members before the token:
-    of copies with changes in some places, the one with the fewest changes, which is the likest to all others."""
-    hubs = rows.groupBy("token").agg(F.min(F.struct("place", "n", "node")).alias("hub"))
-    met = rows.join(hubs, "token").where(F.col("hub.node") != F.col("node"))
+def _apart(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """rows with root, of tokens whose nodes aren't all together by roots (node, root); without roots each node is its own."""
+    if roots is None:
+        return rows.withColumn("root", F.col("node"))
+    rooted = rows.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return rooted.join(mixed, "token", "left_semi")
+
+
+def to_hubs(rows: DataFrame, threshold: float, roots: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b) of each token's hub and its other nodes, from shared(); none that roots (node, root) has together already. The
+    hub has the fewest members before the token: of copies with changes in some places, the one with the fewest changes, which is
+    the likest to all others."""
+    rooted = _apart(rows, roots)
+    hubs = rooted.groupBy("token").agg(F.min(F.struct("place", "n", "node", "root")).alias("hub"))
+    met = rooted.join(hubs, "token").where(F.col("hub.root") != F.col("root"))
     fits = possible((F.col("hub.n"), F.col("n")), (F.col("hub.place"), F.col("place")), threshold)
     return met.where(fits).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def all_pairs(rows: DataFrame, threshold: float, roots: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b) that may be similar enough, from shared(); none that roots (node, root) has together already."""
-    if roots is None:
-        rooted = rows.withColumn("root", F.col("node"))
-    else:
-        rooted = rows.join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-        rooted = rooted.join(mixed, "token", "left_semi")
+    rooted = _apart(rows, roots)
     side = lambda s: rooted.select("token", *[F.col(c).alias(f"{s}_{c}") for c in ("late", "n", "node", "place", "root")])
     smaller = F.struct("a_n", "a_node") < F.struct("b_n", "b_node")
     fits = possible((F.col("a_n"), F.col("b_n")), (F.col("a_place"), F.col("b_place")), threshold)

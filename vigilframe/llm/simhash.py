@@ -151,7 +151,18 @@ class WordHashes(dict):
         return value
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def simhash_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
+    """Pairs (a, b) of the least node of a component of linked fingerprints and each other node of it, from rows (node, fp).
+
+    A node can have several fingerprints, since those count repeats: it then stands in several components."""
+    held = checkpoint(prints.select("node", "fp").distinct())
+    roots = connected_components(links(held.select("fp").distinct(), radius))
+    rooted = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("node").alias("a"))
+    return rooted.join(least, "root").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """doc_id, row_key (of id and text, see row_key()), group_id and first: the smallest id of the rows that links reach, and
     whether the row is the first of its group (by id, nulls last, then text). A link is a Jaccard similarity of at
     least `similarity` between the sets of shingles of `words` words.
@@ -160,6 +171,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     misses none at the threshold, and are verified on the whole sets: first each node with the least node of its shared
     shingles, then all pairs that meet and aren't together yet. So what a group of copies makes follows its size, and
     no pair is left out for the size of a key.
+
+    SimHash goes first: the fingerprints of near_duplicates(), linked at `radius` bits by links(), and each node of a component
+    is a candidate with the component's least node, verified like any other. The prefix filter then does what
+    is left: it makes no pair of nodes that SimHash has put together, and finds those at the similarity whose fingerprints differ by more.
     """
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("row_key", row_key("doc_id", "text"))
 
@@ -174,12 +189,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
         def one(raw: bytes | None) -> tuple:
             s = members(raw or b"")
-            node = xxhash.xxh3_64_intdigest(s.tobytes())
-            return node - (1 << 64) if node >> 63 else node, len(s), prefixes.first_members(s, levels, similarity)
+            node, fp = xxhash.xxh3_64_intdigest(s.tobytes()), bits_over_half(shingle_hashes(raw or b"", 3, 42))
+            return *(x - (1 << 64) if x >> 63 else x for x in (node, fp)), len(s), prefixes.first_members(s, levels, similarity)
 
         return one
 
-    fields = [("node", T.LongType()), ("n", T.LongType()), ("first", T.BinaryType())]
+    fields = [("node", T.LongType()), ("fp", T.LongType()), ("n", T.LongType()), ("first", T.BinaryType())]
     prints = checkpoint(per_text(keyed, ["doc_id", "row_key"], "text", fields, make))
     order = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id"), F.col("row_key"))
     n = prints.count()
@@ -197,7 +212,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         sets = checkpoint(prefixes.sets_of(keyed, live, make_sets), n)
         return checkpoint(prefixes.alike(pairs, sets, similarity), n)
 
-    nearest = alike(prefixes.to_hubs(met, similarity))
+    linked = alike(simhash_pairs(prints, radius))
+    nearest = linked.unionByName(alike(prefixes.to_hubs(met, similarity, connected_components(linked, n))))
     rest = alike(prefixes.all_pairs(met, similarity, connected_components(nearest, n)))
     roots = connected_components(nearest.unionByName(rest), n)
     labelled = nodes.join(roots, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
