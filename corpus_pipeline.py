@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilframe.llm import bpe, mixing, pii, simhash, toxicity
-from vigilframe.llm.common import ensure_checkpoint_dir, table
+from vigilframe.llm.common import checkpoint, ensure_checkpoint_dir, table
 from vigilframe.llm.registry import surrogate_key, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: bits that mark rows whose texts must be joined by key; they decide the way, never the result
+MARKS = 1 << 24
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,10 +32,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the first by id, null ids
-    last. Null and blank texts are one group. Of rows with equal id and text the least by the other columns stays."""
-    kept = simhash.similar_groups(docs).where("first").select("row_key").distinct()
-    keyed = docs.select(COLUMNS).withColumn("row_key", simhash.row_key("doc_id", "text"))
-    return keyed.join(kept, "row_key").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    last. Null and blank texts are one group. Of rows with equal id and text the least by the other columns stays.
+
+    Most rows are alone with their id and text and the first of their group: they are written from where they are. Only the rows that
+    a bitmap of the other keys, of fixed size, may mean are shuffled with their texts and joined by key, which decides."""
+    keys = checkpoint(simhash.similar_groups(docs).groupBy("row_key").agg(F.max("first").alias("first"), F.count("*").alias("n")))
+    spot = F.pmod(F.xxhash64("row_key"), F.lit(MARKS))
+    word, bit = F.shiftright("spot", 6).alias("word"), F.expr("shiftleft(1L, cast(spot & 63 as int))").alias("bit")
+    marks = keys.where("not first or n > 1").select(spot.alias("spot")).select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    keyed = docs.select(COLUMNS).withColumn("row_key", simhash.row_key("doc_id", "text")).withColumn("spot", spot).select(*COLUMNS, "row_key", word, bit)
+    told = keyed.join(F.broadcast(marks), "word", "left").withColumn("joined", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)))
+    joined = told.where("joined").join(keys.where("first").select("row_key"), "row_key").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return told.where("not joined").select(COLUMNS).unionByName(joined)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,8 +484,53 @@ def test_similar_groups_by_simhash_first(spark, monkeypatch):
     assert all((i, j) in linked for i, j in got.items() if i != j)
 
 
+def test_few_links_are_joined_in_one_task(spark, monkeypatch):
+    rnd = random.Random(17)
+    edges = [(rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for _ in range(250)] + [(i + 1, i) for i in range(1000, 1100)]
+    frame_of = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    found = lambda df: sorted((r["node"], r["root"]) for r in df.collect())
+    rounds, star = found(components.connected_components(frame_of(edges))), components._star
+    some = components.connected_components(frame_of(edges), few=100)  # too many for one task
+    monkeypatch.setattr(components, "_star", None)
+    assert found(components.connected_components(frame_of(edges), few=1000)) == rounds == found(some)
+    assert components.connected_components(frame_of([(7, 7)]), few=1000).count() == 0
+    rows = [(i, f"one text of {i // 3} words " * 20) for i in range(12)]
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == plain_groups(rows)
+    monkeypatch.setattr(components, "_star", star)
+    monkeypatch.setattr(simhash, "FEW", 0)
+    assert {r["doc_id"]: r["group_id"] for r in simhash.similar_groups(frame(spark, rows)).collect()} == plain_groups(rows)
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------
 
+def shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_rows_that_stay_are_not_shuffled_with_their_texts(spark, tmp_path, monkeypatch, bits):
+    import corpus_pipeline as p
+
+    monkeypatch.setattr(p, "MARKS", bits, raising=False)
+    rnd = random.Random(18)
+    texts = [" ".join(f"{rnd.getrandbits(4000):x}" for _ in range(30)) for _ in range(200)]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    odd = [(500, texts[0], "en", "a", 1), (1, texts[1], "de", None, 1), (1, texts[1], "de", "b", 1), (None, texts[2], "en", "a", 1), (None, "alone", None, "a", 1), (501, None, "en", "a", 1), (502, " ", "en", "a", 1)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    docs.write.parquet(flat := f"file://{tmp_path}/docs")
+    before = shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        p.one_of_each_group(spark, spark.read.parquet(flat), "").write.parquet(path := f"file://{tmp_path}/kept")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = shuffled(spark) - before
+    want = [r for r in rows if r[0] != 1] + [(1, texts[1], "de", None, 1), (None, "alone", None, "a", 1), (501, None, "en", "a", 1)]
+    assert sorted(map(repr, map(tuple, spark.read.parquet(path).collect()))) == sorted(map(repr, want))
+    assert bits == 64 or moved < sum(map(len, texts)) / 10
+
 
 def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline as p

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,12 @@ def order_of(texts: DataFrame, column: str, make: Callable[[], Callable[[bytes],
     return b"".join(levels.get(k, bytes(width)) for k in range(SLICES))
 
 
+def node_of(members: bytes) -> int:
+    """The node of a set, from its members as bytes: a signed 64-bit hash."""
+    value = xxhash.xxh3_64_intdigest(members)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def entered(n: int, share: float) -> int:
     """How many first members of n are entered if at least share * n are common; 0 for an empty set."""
     return n - math.ceil(share * n - SLACK) + 1 if n else 0
@@ -199,8 +206,8 @@ def all_pairs(rows: DataFrame, threshold: float, roots: DataFrame | None = None)
 def sets_of(texts: DataFrame, live: DataFrame, make: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
     """node and s (distinct members as bytes) of the nodes of live (node, row_key), from texts (row_key, text).
 
-    A bitmap of fixed size with the live rows' keys goes to all tasks, so that texts stay where they are; what passes it is
-    joined with live, which decides.
+    A bitmap of fixed size with the live rows' keys goes to all tasks, so that texts stay where they are. The sets of what passes
+    it tell their nodes (node_of()), and live decides which of these are kept; so sets are shuffled once.
     """
     bits = lambda c: F.xxhash64(c)
     width = MARKS // SLICES
@@ -232,14 +239,15 @@ def sets_of(texts: DataFrame, live: DataFrame, make: Callable[[], Callable[[byte
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, members = np.frombuffer(marks.value, np.uint8), make()
         for batch in batches:
-            at = batch.column(1).to_numpy().view(np.uint64) % np.uint64(MARKS)
+            at = batch.column(0).to_numpy().view(np.uint64) % np.uint64(MARKS)
             rows = np.flatnonzero(flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
             if len(rows):
                 kept = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([kept.column(0), pa.array([members(x.as_py() or b"") for x in kept.column(2)], pa.binary())], names=["row_key", "s"])
+                sets = [members(x.as_py() or b"") for x in kept.column(1)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array(sets, pa.binary())], names=["node", "s"])
 
-    made = texts.select("row_key", bits("row_key").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "row_key string, s binary")
-    return made.join(live, "row_key").groupBy("node").agg(F.first("s").alias("s"))
+    made = texts.select(bits("row_key").alias("h"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, s binary")
+    return made.join(live.select("node"), "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
 
 
 def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

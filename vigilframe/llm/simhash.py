@@ -23,6 +23,8 @@ from vigilframe.llm.components import connected_components
 
 #: fingerprints with one segment value from which the longer keys are used; it decides the way, never the result
 CROWD = 64
+#: links that similar_groups() joins to components in one task, at most; more are joined by rounds over tables
+FEW = 200_000
 
 
 def shingle_hashes(text: bytes, words: int, seed: int) -> list[int]:
@@ -156,7 +158,7 @@ def simhash_pairs(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     A node can have several fingerprints, since those count repeats: it then stands in several components."""
     held = checkpoint(prints.select("node", "fp").distinct())
-    roots = connected_components(links(held.select("fp").distinct(), radius))
+    roots = connected_components(links(held.select("fp").distinct(), radius), few=FEW)
     rooted = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("node").alias("a"))
     return rooted.join(least, "root").where("a <> node").select("a", F.col("node").alias("b")).distinct()
@@ -189,8 +191,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
         def one(raw: bytes | None) -> tuple:
             s = members(raw or b"")
-            node, fp = xxhash.xxh3_64_intdigest(s.tobytes()), bits_over_half(shingle_hashes(raw or b"", 3, 42))
-            return *(x - (1 << 64) if x >> 63 else x for x in (node, fp)), len(s), prefixes.first_members(s, levels, similarity)
+            fp = bits_over_half(shingle_hashes(raw or b"", 3, 42))
+            return prefixes.node_of(s.astype("<u8").tobytes()), fp - (1 << 64) if fp >> 63 else fp, len(s), prefixes.first_members(s, levels, similarity)
 
         return one
 
@@ -208,14 +210,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     def alike(found: DataFrame) -> DataFrame:
         """Pairs verified on the sets of their nodes, each made from one of the node's texts."""
         pairs = checkpoint(found, n)
+        if pairs.isEmpty():
+            return pairs
         live = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", F.col("one.row_key").alias("row_key")), "node")
         sets = checkpoint(prefixes.sets_of(keyed, live, make_sets), n)
         return checkpoint(prefixes.alike(pairs, sets, similarity), n)
 
     linked = alike(simhash_pairs(prints, radius))
-    nearest = linked.unionByName(alike(prefixes.to_hubs(met, similarity, connected_components(linked, n))))
-    rest = alike(prefixes.all_pairs(met, similarity, connected_components(nearest, n)))
-    roots = connected_components(nearest.unionByName(rest), n)
+    nearest = linked.unionByName(alike(prefixes.to_hubs(met, similarity, connected_components(linked, n, FEW))))
+    rest = alike(prefixes.all_pairs(met, similarity, connected_components(nearest, n, FEW)))
+    roots = connected_components(nearest.unionByName(rest), n, FEW)
     labelled = nodes.join(roots, "node", "left").select("node", "one", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("one").alias("least"))
     grouped = labelled.join(least, "root").select("node", "least")
